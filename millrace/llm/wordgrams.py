@@ -30,7 +30,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE[~_IS_WORD] = 0
+#: All but white space: words as white space divides them.
+SOLID = np.ones(256, bool)
+SOLID[[0, 9, 10, 11, 12, 13, 32]] = False
 _BASE = 0x5851F42D4C957F2D
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -48,19 +50,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of several texts: where each starts and ends, its text, its hash."""
+    """The words of several texts: where each starts and ends, its text, its hash. `inside`: the bytes that words are made of."""
 
-    def __init__(self, held: list[bytes]):
-        self.data, starts, self.stops = joined(held)
-        is_word = _IS_WORD[self.data]
+    def __init__(self, held: list[bytes], inside: np.ndarray = _IS_WORD):
+        self.data, self.starts, self.stops = joined(held)
+        is_word = inside[self.data]
         edge = np.diff(is_word.view(np.int8), prepend=np.int8(0))
         self.first = np.flatnonzero(edge == 1)
         self.last = np.flatnonzero(edge == -1)
-        self.of = np.searchsorted(starts, self.first, side="right") - 1
+        self.of = np.searchsorted(self.starts, self.first, side="right") - 1
         up, down = _powers(1 << max(20, int(len(self.data)).bit_length()))
         with np.errstate(over="ignore"):
             total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
+            np.cumsum(np.where(inside, _BYTE, 0).astype(np.uint64)[self.data] * up[: len(self.data)], out=total[1:])
             self.hash = _mixed((total[self.last] - total[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
