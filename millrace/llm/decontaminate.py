@@ -31,7 +31,7 @@ WORDS = 5
 #: Containment of 4/5, as integers.
 THRESHOLD = (4, 5)
 #: Bits of the Bloom filter: 16 for each item shingle, within these.
-LEAST_BITS, MOST_BITS = 20, 28
+LEAST_BITS, MOST_BITS = 24, 28
 
 
 def _spare(n: int) -> int:
