@@ -1,8 +1,9 @@
 """The queries of the ten operators, and the same in SQL where SQL can say it."""
 
-from millrace.llm import decontaminate, license_scan, media, packing, pii, quality, simhash, toxicity, warc
+from millrace.llm import decontaminate, license_scan, media, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_run_length_index_dedup": suffix_dedup.op1,
     "op2_pii_information_theoretic": pii.op2,
     "op3_license_sentence_rules": license_scan.op3,
     "op4_best_fit_packing": packing.op4,
