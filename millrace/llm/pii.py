@@ -177,15 +177,16 @@ def sanitised(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with sanitised texts (null stays null) and n_chars, if there, to match."""
     scratch = Scratch(docs.sparkSession, "pii")
-    marks = detect(docs, scratch).where(F.size("added") > 0).select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "added").dropDuplicates(["_d", "_t"])
-    marks = scratch.table(marks.withColumnRenamed("added", "_added"), "marks")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left")
-    labelled = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
-    extra = F.transform("_added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["how"] == "removed", "").otherwise("[TERM]").alias("label")))
-    spans = F.array_sort(F.concat(labelled, F.coalesce(extra, F.array().cast("array<struct<start:int,end:int,label:string>>"))))
-    clean = F.when(F.col("text").isNotNull(), let(spans, lambda s: sanitised(text, s)))
-    out = held.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    marks = detect(docs, scratch).where(F.size("added") > 0).select("doc_id", "tid", "added").dropDuplicates(["doc_id", "tid"])
+    marks = scratch.table(marks, "marks")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    held = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["doc_id"]) & (F.xxhash64(text) == marks["tid"]), "left")
+    label = "array<struct<start:int,end:int,label:string>>"
+    base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    extra = F.transform(marks["added"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["how"] == "removed", "").otherwise("[TERM]").alias("label")))
+    spans = F.array_sort(F.concat(base, F.coalesce(extra, F.array().cast(label))))
+    clean = F.when(docs["text"].isNotNull(), let(spans, lambda s: sanitised(text, s)))
+    out = held.select(*(clean.alias("text") if c == "text" else docs[c] for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -98,10 +98,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; of repeated rows one stays."""
+    """The documents without those that have a smaller doc_id in their component; of equal (doc_id, text) one stays.
+
+    Rows without a doc_id all stay, as nothing says which of them is first.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-kept")
     kept = scratch.table(near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
