@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -181,9 +182,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("boolean")
-    def fine(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def fine(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = held_model.value
         distance = Distance(*fitted[:2]) if fitted else None
         for text in parts:
