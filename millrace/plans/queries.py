@@ -221,7 +221,7 @@ def _(spark, sf):
 
 
 _CLEAN = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis')"
-_UNESCAPED = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _FACTS = f"""
 t AS (SELECT page_id, url, html, {_CLEAN} AS clean FROM pages),
 n AS (SELECT *, list_filter(list_transform(regexp_split_to_array(clean, '<[^>]*>'), lambda x: trim({_UNESCAPED}, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS nodes FROM t),
