@@ -69,7 +69,7 @@ def normalize(url: Column, settings: Settings = DEFAULT) -> Column:
         cut = F.substr(p, F.lit(len(prefix) + 1))
         p = F.when(F.startswith(p, F.lit(prefix)), F.when(cut == "", "/").otherwise(cut)).otherwise(p)
     p = F.regexp_replace(p, "/+$", "")
-    p = F.when(p == "", "/").otherwise(p)
+    p = F.when(p == "", "/").when((netloc(url) != "") & ~F.startswith(p, F.lit("/")), F.concat(F.lit("/"), p)).otherwise(p)
     head = F.concat(F.when(scheme(url) != "", F.concat(F.lower(scheme(url)), F.lit(":"))).otherwise(""), F.when(netloc(url) != "", F.concat(F.lit("//"), F.lower(netloc(url)))).otherwise(""))
     return F.concat(head, p, F.when(line != "", F.concat(F.lit("?"), line)).otherwise(""))
 

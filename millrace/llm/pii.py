@@ -11,8 +11,8 @@ with N documents, df over all of them and co the documents in which t stands nea
 never stands elsewhere. Terms of `SUPPORT` documents or more whose disclosure reaches `THRESHOLD` are
 generalised in that context; those that reach `REMOVED` are removed.
 
-Defined cases: null texts are empty and have no spans; a document is a (doc_id, text), so repeated rows count once
-in the statistics and each get their row; spans of different kinds may overlap (a sanitised text merges them); positions are code
+Defined cases: null texts are empty and have no spans; each row is a document, so repeated rows count each
+in the statistics and get a row each; spans of different kinds may overlap (a sanitised text merges them); positions are code
 points; without an entity in `SUPPORT` documents nothing is added; other columns are left alone.
 
 Patterns: possessive quantifiers, look-behinds and bounded groups keep them linear and off the stack on very long
@@ -135,22 +135,26 @@ def detect(docs: DataFrame, scratch: Scratch) -> DataFrame:
     with_spans = rows.select("doc_id", "tid", "text", base_spans(F.col("text")).alias("base"))
     near = F.when(F.size("base") > 0, _near(F.col("text"), F.col("base")))
     base = scratch.table(with_spans.select("doc_id", "tid", "base", near.alias("near")), "base")
-    one = base.where(F.size("base") > 0).dropDuplicates(["doc_id", "tid"]).select("doc_id", "tid", F.explode("near").alias("c")).select("doc_id", "tid", "c.entity", "c.words")
-    context = scratch.table(one.select("doc_id", "tid", "entity", F.explode("words").alias("w")).select("doc_id", "tid", "entity", "w.*"), "context")
-    entities = one.select("doc_id", "tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("dfe")).where(F.col("dfe") >= SUPPORT)
-    pairs = context.select("doc_id", "tid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= SUPPORT)
+    some = base.where(F.size("base") > 0)
+    context = some.select("doc_id", "tid", F.explode("near").alias("c")).select("doc_id", "tid", "c.entity", F.explode("c.words").alias("w")).select("doc_id", "tid", "entity", "w.*")
+    context = scratch.table(context, "context")
+    named = F.array_distinct(F.transform("near", lambda c: c["entity"]))
+    together = F.array_distinct(F.flatten(F.transform("near", lambda c: F.transform(c["words"], lambda w: F.struct(c["entity"].alias("entity"), w["term"].alias("term"))))))
+    entities = some.select(F.explode_outer(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("dfe")).where(F.col("dfe") >= SUPPORT)
+    pairs = some.select(F.explode_outer(together).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("co")).where(F.col("co") >= SUPPORT)
     pairs = scratch.table(pairs.join(entities, "entity"), "pairs")
     terms = scratch.table(pairs.select("term").distinct(), "terms")
-    n = base.select("doc_id", "tid").distinct().count()
-    words = rows.select("doc_id", "tid", F.explode(F.split(F.lower("text"), APART)).alias("term"))
+    n = base.count()
+    # outer: the plain form would have the optimizer split each text once more, to test that the list is not empty
+    words = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), APART))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
-        counted = words.join(F.broadcast(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("dft"))
+        counted = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("dft"))
     else:
-        counted = words.distinct().groupBy("term").agg(F.count("*").alias("dft")).join(terms, "term", "left_semi")
+        counted = words.groupBy("term").agg(F.count("*").alias("dft")).join(terms, "term", "left_semi")
     disclosure = F.log(F.lit(float(n)) * F.col("co") / (F.col("dfe") * F.col("dft"))) / F.log(F.lit(float(n)) / F.col("dfe"))
     telling = pairs.join(counted, "term").where(F.col("dfe") < n).withColumn("disclosure", disclosure).where(F.col("disclosure") >= THRESHOLD)
     how = F.when(F.col("disclosure") >= REMOVED, "removed").otherwise("general")
-    marked = context.join(telling.select("entity", "term", how.alias("how")), ["entity", "term"]).groupBy("doc_id", "tid", "start", "end").agg(F.max("how").alias("how"))
+    marked = context.distinct().join(telling.select("entity", "term", how.alias("how")), ["entity", "term"]).groupBy("doc_id", "tid", "start", "end").agg(F.max("how").alias("how"))
     added = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "how"))).alias("added"))
     added = scratch.table(added, "added")
     held = base.select("doc_id", "tid", "base").join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("tid", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")

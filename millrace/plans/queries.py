@@ -63,7 +63,7 @@ b AS (SELECT *, CASE WHEN starts_with(p1, '/mobile') THEN coalesce(nullif(substr
 c AS (SELECT *, CASE WHEN starts_with(p2, '/print') THEN coalesce(nullif(substr(p2, 7), ''), '/') ELSE p2 END AS p3 FROM b),
 d AS (SELECT *, coalesce(nullif(rtrim(p3, '/'), ''), '/') AS p4,
       array_to_string(list_transform(list_sort(list_filter(ps, lambda x: lower(x.k) NOT IN ({_TRACKING}))), lambda x: x.k || '=' || x.v), '&') AS line FROM c)
-SELECT page_id, url, scheme || '://' || lower(host) || p4 || CASE WHEN line <> '' THEN '?' || line ELSE '' END AS normalized FROM d
+SELECT page_id, url, scheme || '://' || lower(host) || CASE WHEN starts_with(p4, '/') THEN '' ELSE '/' END || p4 || CASE WHEN line <> '' THEN '?' || line ELSE '' END AS normalized FROM d
 """)
 def _(spark, sf):
     return standins.urls(spark, sf).select("page_id", "url", urls.normalize(F.col("url")).alias("normalized"))
