@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import urls
 from millrace.functions.ship import ship
+from millrace.operators.tables import ranks
 from millrace.settings import DEFAULT, Settings
 
 
@@ -46,8 +46,8 @@ def slots(urls_: DataFrame, robots: DataFrame | None = None, settings: Settings
     if robots is not None:
         rows = rows.join(robots.select("host", "crawl_delay"), "host", "left")
         delay = F.coalesce("crawl_delay", F.lit(settings.crawl_delay))
-    turn = F.row_number().over(W.partitionBy("host").orderBy("seq"))
-    return rows.select("seq", "url", "host", ((turn - 1) * delay).alias("not_before"))
+    rows = ranks(rows.withColumn("delay", delay), "host", "seq", "turn")
+    return rows.select("seq", "url", "host", ((F.col("turn") - 1) * F.col("delay")).alias("not_before"))
 
 
 def parse_robots(text: str | None, agent: str) -> tuple[list[tuple[bool, str]], float | None]:

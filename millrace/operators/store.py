@@ -68,6 +68,21 @@ def as_article(articles: DataFrame) -> DataFrame:
     return articles.withColumns({"quality_score": F.coalesce("quality_score", F.lit(0.0)), "html_quality": F.coalesce("html_quality", F.lit("ok")), "is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string")})
 
 
+def interchange(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows with some columns as JSON text, as the relational form of the store has lists and maps."""
+    return df.withColumns({c: F.to_json(c) for c in names})
+
+
+def from_interchange(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The rows with JSON text columns read as the given types; bad JSON is null."""
+    return df.withColumns({c: F.from_json(c, k) for c, k in kinds.items()})
+
+
+def without_body(fetched: DataFrame) -> DataFrame:
+    """A fetch result as it is reported: no HTML, and the status 'blocked' where it was."""
+    return fetched.drop("html").withColumn("status", log_status(F.col("status"), F.col("blocked")))
+
+
 def decision(blocked: Column, duplicate: Column, skip_reason: Column, extracted: Column) -> Column:
     """blocked, duplicate, skipped, saved or error, in this order."""
     yes = lambda c: F.coalesce(c, F.lit(False))

@@ -40,3 +40,16 @@ def numbered(df: DataFrame, key: str, name: str, start: int = 0, buckets: int =
     before = dealt.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
     ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(key)))
     return ranked.join(before, "_b").withColumn(name, F.col("_r") + F.col("_before") + (start - 1)).drop("_b", "_r", "_before")
+
+
+def ranks(df: DataFrame, key: str, order: str, name: str, buckets: int = 256) -> DataFrame:
+    """row_number over (key, order) for a numeric order, with each key split into ranges of the order: a key of very many rows is not sorted in one task."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    low, width = float(ends["lo"] or 0), float((ends["hi"] or 0) - (ends["lo"] or 0)) + 1.0
+    dealt = df.withColumn("_b", F.floor((F.col(order).cast("double") - low) * buckets / width).cast("int"))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows a key
+    counted = dealt.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    sums = counted.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(key, "_b").orderBy(order)))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))
+    return ranked.join(sums, same).withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_r", "_k", "_c", "_before")

@@ -461,6 +461,26 @@ def _(spark, sf):
     return readers.with_aliases(a, a.where("id % 100 = 0").select("url", F.concat(F.lit("page"), F.col("id").cast("string")).alias("name"))).select("id", "name")
 
 
+@query("p5_recrawl_time", f"WITH {_A} SELECT strftime(next_recrawl_at, '%Y-%m-%d %H:%M:%S') AS next_at FROM a WHERE url IN (SELECT url FROM a WHERE id = 3)")
+def _(spark, sf):
+    a = standins.articles(spark, sf)
+    return store.recrawl_time(a, store.by_id(a, 3).first()["url"]).select(F.date_format("next_recrawl_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+
+
+@query("p9_fetch_report", f"WITH {_L} SELECT id, url, CASE WHEN blocked THEN 'blocked' ELSE '200' END AS status FROM l")
+def _(spark, sf):
+    rows = standins.log(spark, sf).select("id", "url", "blocked", F.lit(200).alias("status"), F.lit("<p>").alias("html"))
+    return store.without_body(rows).select("id", "url", "status")
+
+
+@query("f20_json_interchange", "SELECT doc_id, '[\"' || source || '\",\"' || lang || '\"]' AS line, source AS first FROM documents")
+def _(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", F.array("source", "lang").alias("line"))
+    text_ = store.interchange(rows, ["line"])
+    back = store.from_interchange(text_.withColumn("back", F.col("line")), {"back": "array<string>"})
+    return back.select("doc_id", "line", F.get("back", F.lit(0)).alias("first"))
+
+
 # Statistics
 
 _GOOD = "NOT coalesce(blocked, false) AND NOT coalesce(is_duplicate, false) AND coalesce(skip_reason, '') = '' AND coalesce(extraction_ok, false)"

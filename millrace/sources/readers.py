@@ -122,6 +122,12 @@ class _Reader(DataSourceReader):
             yield row
 
 
+def robots(spark: SparkSession, hosts: list[str], **options) -> DataFrame:
+    """(host, text) of the hosts' robots.txt; anything but a 200 is null, which allows all."""
+    got = fetch(spark, [f"https://{h}/robots.txt" for h in hosts], **options)
+    return got.select(F.get(F.split("url", "/"), F.lit(2)).alias("host"), F.when(F.col("status") == 200, F.col("html")).alias("text"))
+
+
 def fetch(spark: SparkSession, urls_: list[str], **options) -> DataFrame:
     spark.dataSource.register(Fetch)
     return spark.read.format("millrace_fetch").options(urls="\n".join(urls_), **{k: str(v) for k, v in options.items()}).load()
