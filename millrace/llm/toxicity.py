@@ -37,10 +37,11 @@ from millrace.llm.labelled import sample
 SAMPLE = (4500, 2000)
 REJECTED = 0.5
 TOXIC_BYTES, ORDINARY_BYTES = 16 * 1024, 110 * 1024
-#: A letter group sets toxic texts apart if it is in so many of them at least, with such a z value and so many times the share.
-SUPPORT, Z, RATIO, GROUPS = 4, 3.5, 30, 3
+#: A letter group sets toxic texts apart if it is in so many of them at least, with such a likelihood ratio and so many times the share.
+SUPPORT, G, RATIO, GROUPS = 4, 14.0, 30, 3
+_ODD = np.random.default_rng(3).integers(1 << 40, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 #: Threshold unless there are `ENOUGH` toxic texts to calibrate it on, and what it may become.
-THRESHOLD, RANGE, ENOUGH = 8.5, np.arange(6.5, 13), 30
+THRESHOLD, RANGE, ENOUGH = 8.5, np.arange(6.5, 13), 200
 SLOPE = 2.0
 #: Distances that a worker remembers.
 REMEMBERED = 200_000
@@ -62,37 +63,54 @@ def code(word: str) -> bytes:
     return b"".join(zlib.crc32(w[i : i + 4].encode("utf-8", "surrogatepass")).to_bytes(4, "little") for i in range(max(1, len(w) - 3)))
 
 
-def _telling(toxic: list[set[str]], ordinary: list[set[str]]) -> list[tuple[str, int]]:
-    """Words that set toxic texts apart, with the number of toxic texts that hold each."""
-    known: dict[str, set[str]] = {}
+def _apart(a: int, b: int, nt: int, no: int) -> bool:
+    """Whether being in a of nt toxic and b of no ordinary texts sets toxic texts apart, by Dunning's likelihood ratio."""
+    if a < SUPPORT or a / nt <= RATIO * b / no:
+        return False
+    e = (a + b) / (nt + no)
+    return 2 * (a * math.log(a / (e * nt)) + (b * math.log(b / (e * no)) if b else 0)) > G
 
-    def counted(docs: list[set[str]]) -> tuple[Counter, Counter]:
-        by_word, by_group = Counter(), Counter()
-        for doc in docs:
-            by_word.update(doc)
-            for w in doc:
-                if w not in known:
-                    known[w] = _groups(w)
-            by_group.update(set().union(*(known[w] for w in doc)) if doc else ())
-        return by_word, by_group
 
-    (tw, tg), (ow, og) = counted(toxic), counted(ordinary)
-    nt, no = len(toxic) + 1, len(ordinary) + 1
+def _one_of_near_copies(docs: list[np.ndarray], chosen: list[int]) -> list[int]:
+    """Those of the chosen texts that do not share all of six minima of hashed words with earlier ones: copies would make any rare word look telling."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i in chosen:
+        w = docs[i].astype(np.uint64) + np.uint64(1)
+        marks = [(k, int((w * odd >> np.uint64(20) & np.uint64(0xFFFFFFFF)).min())) for k, odd in enumerate(_ODD)] if len(w) else []
+        if not marks or sum(m in seen for m in marks) < 6:
+            kept.append(i)
+        seen.update(marks)
+    return kept
 
-    def apart(a: int, b: int) -> bool:
-        ratio = (a + 0.5) / nt * no / (b + 0.5)
-        return a >= SUPPORT and a / nt > RATIO * b / no and math.log(ratio) > Z * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    groups = {g for g, a in tg.items() if apart(a, og[g])}
-    found = [(w, a) for w, a in tw.items() if a / nt > RATIO * ow[w] / no and len(known[w] & groups) >= GROUPS]
+def _telling(names: list[str], toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> list[tuple[str, int]]:
+    """Words that set toxic texts apart, with the number of toxic texts that hold each. Texts are arrays of word numbers."""
+    nt, no = len(toxic) + 1, len(ordinary) + 1
+    by_group: Counter = Counter()
+    for doc in toxic:
+        by_group.update(set().union(*(_groups(names[i]) for i in doc)))
+    place = {g: k for k, g in enumerate(g for g, a in by_group.items() if a >= SUPPORT)}
+    counts, of = np.zeros(len(place) + 1, np.int64), {}
+    for doc in ordinary:
+        held: set[int] = set()
+        for i in doc.tolist():
+            if i not in of:
+                of[i] = tuple(place[g] for g in _groups(names[i]) if g in place)
+            held.update(of[i])
+        counts[list(held)] += 1
+    groups = {g for g, k in place.items() if _apart(by_group[g], int(counts[k]), nt, no)}
+    tw, ow = (np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(names)) for docs in (toxic, ordinary))
+    found = [(names[i], int(tw[i])) for i in np.flatnonzero(tw).tolist() if tw[i] / nt > RATIO * ow[i] / no and len(_groups(names[i]) & groups) >= GROUPS]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    try:
-        return zstandard.train_dictionary(size, samples, k=48, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their text itself is the dictionary
-        return b"".join(dict.fromkeys(samples))[:size]
+    """A trained dictionary, or the samples themselves where all of them fit: training would only leave some out."""
+    whole = b"".join(dict.fromkeys(reversed(samples)))
+    if len(whole) <= size:
+        return whole
+    return zstandard.train_dictionary(size, samples, k=48, d=8).as_bytes()
 
 
 class Distance:
@@ -126,22 +144,25 @@ class Distance:
 
 def fit(held: list[str], labels: np.ndarray) -> tuple[bytes, bytes, float] | None:
     """The two dictionaries and the threshold."""
-    sets = [set(words(t)) for t in held]
-    toxic, ordinary = ([i for i in range(len(held)) if labels[i] == y] for y in (1, 0))
+    number: dict[str, int] = {}
+    docs = [np.unique(np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int32)) for t in held]
+    names = list(number)
+    toxic, ordinary = (_one_of_near_copies(docs, [i for i in range(len(held)) if labels[i] == y]) for y in (1, 0))
     enough = len(toxic) >= ENOUGH
     judged = {i for part in (toxic, ordinary) for i in part[3::4]} if enough else set()
-    telling = _telling([sets[i] for i in toxic if i not in judged], [sets[i] for i in ordinary if i not in judged])
-    plain = Counter(w for i in ordinary if i not in judged for w in sets[i])
-    if not telling or not plain:
+    learnt = [docs[i] for i in ordinary if i not in judged]
+    telling = _telling(names, [docs[i] for i in toxic if i not in judged], learnt)
+    plain = np.bincount(np.concatenate([np.zeros(0, np.int32), *learnt]), minlength=len(names))
+    if not telling or not plain.any():
         return None
     toxic_samples = [code(w) for w, n in telling for _ in range(min(n, 20))]
-    common = sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:40_000]
+    common = sorted(((names[i], int(plain[i])) for i in np.flatnonzero(plain).tolist()), key=lambda x: (-x[1], x[0]))[:40_000]
     ordinary_samples = [code(w) for w, n in common for _ in range(min(n, 3))]
     dictionaries = _dictionary(toxic_samples, TOXIC_BYTES), _dictionary(ordinary_samples, ORDINARY_BYTES)
     threshold = THRESHOLD
     if enough:
         d = Distance(*dictionaries)
-        x = {y: np.array([max(map(d.word, sets[i]), default=0) for i in part if i in judged]) for y, part in ((1, toxic), (0, ordinary))}
+        x = {y: np.array([max((d.word(names[w]) for w in docs[i].tolist()), default=0) for i in part if i in judged]) for y, part in ((1, toxic), (0, ordinary))}
         gain = {t: (x[1] > t).mean() - 5 * ((x[0] > t).mean() if len(x[0]) else 0) for t in RANGE.tolist()}
         threshold = max(gain, key=lambda t: (round(gain[t], 4), -abs(t - THRESHOLD)))
     return *dictionaries, threshold
