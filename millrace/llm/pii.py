@@ -142,9 +142,13 @@ def detect(docs: DataFrame, scratch: Scratch) -> DataFrame:
     together = F.array_distinct(F.flatten(F.transform("near", lambda c: F.transform(c["words"], lambda w: F.struct(c["entity"].alias("entity"), w["term"].alias("term"))))))
     entities = some.select(F.explode_outer(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("dfe")).where(F.col("dfe") >= SUPPORT)
     pairs = some.select(F.explode_outer(together).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("co")).where(F.col("co") >= SUPPORT)
-    pairs = scratch.table(pairs.join(entities, "entity"), "pairs")
-    terms = scratch.table(pairs.select("term").distinct(), "terms")
     n = base.count()
+    # A term is in as many documents at least as it stands near entities in; that alone rules out the common ones, exactly.
+    beside = F.array_distinct(F.flatten(F.transform("near", lambda c: F.transform(c["words"], lambda w: w["term"]))))
+    least = some.select(F.explode_outer(beside).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("co") * F.pow(F.lit(float(n)) / F.col("dfe"), 1 - THRESHOLD) * (1 + 1e-9)
+    pairs = scratch.table(pairs.join(entities, "entity").join(least, "term").where(F.col("least") <= most).drop("least"), "pairs")
+    terms = scratch.table(pairs.select("term").distinct(), "terms")
     # outer: the plain form would have the optimizer split each text once more, to test that the list is not empty
     words = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), APART))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
