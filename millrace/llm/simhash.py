@@ -103,8 +103,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id all stay, as nothing says which of them is first.
     """
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    kept = scratch.table(near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = scratch.table(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.where(docs["doc_id"].isNotNull())
+    # one shuffle of the texts, by doc_id, serves the join and the fold of equal rows, whatever the size of `kept`
+    first = named.join(kept.hint("merge"), named["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.union(docs.where(docs["doc_id"].isNull()).dropDuplicates(["doc_id", "text"]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
