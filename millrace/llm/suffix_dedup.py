@@ -215,14 +215,12 @@ def _rest(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names=names)
 
 
-def _first(once: bool) -> Column:
-    """The earliest (doc_id, at) of a group. Where doc_ids do not repeat a group holds a doc_id once."""
-    if once:
-        return F.struct(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
+def _first() -> Column:
+    """The earliest (doc_id, at) of a group. A long text can bring a strip more than once, in segments folded apart."""
     return F.min(F.struct("doc_id", "at"))
 
 
-def removed_windows(docs: DataFrame, scratch: Scratch, once: bool) -> DataFrame:
+def removed_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, at, n): runs of windows that also start earlier. docs: doc_id, text, text_bits."""
     strip = scratch.table(docs.select("doc_id", "text").mapInArrow(_cut, "mh long, ch long, doc_id long, at long, n int, again boolean"), "strips")
     folded = scratch.table(strip.where("again").select("doc_id", "at", "n"), "folded")
@@ -231,7 +229,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, once: bool) -> DataFrame:
     shared = scratch.table(fresh.join(met, "mh", "left_semi"), "shared")
     scratch.drop(strip)
     scratch.release()
-    firsts = scratch.table(shared.groupBy("mh", "ch").agg(_first(once).alias("f"), F.max("n").alias("n"), F.count("*").alias("k")), "firsts")
+    firsts = scratch.table(shared.groupBy("mh", "ch").agg(_first().alias("f"), F.max("n").alias("n"), F.count("*").alias("k")), "firsts")
     many = firsts.where("k > 1").select("mh", "ch", "f")
     copies = shared.join(many, ["mh", "ch"]).where("doc_id != f.doc_id or at != f.at").select("doc_id", "at", "n")
     copies = scratch.table(copies, "copies")
@@ -246,7 +244,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, once: bool) -> DataFrame:
     dealt = fetched.where("strip is not null").select("mh", "doc_id", "at", "strip").repartition("mh").sortWithinPartitions("mh")
     indexed = scratch.table(dealt.mapInArrow(_index, "doc_id long, at long, n int"), "indexed")
     window = fetched.where("strip is null").select("w1", "w2", "doc_id", "at")
-    earliest = window.groupBy("w1", "w2").agg(_first(False).alias("f"), F.count("*").alias("k")).where("k > 1").select("w1", "w2", "f")
+    earliest = window.groupBy("w1", "w2").agg(_first().alias("f"), F.count("*").alias("k")).where("k > 1").select("w1", "w2", "f")
     again = window.join(earliest, ["w1", "w2"]).where("doc_id != f.doc_id or at != f.at").select("doc_id", "at", F.lit(1).alias("n"))
     again = scratch.table(again, "crowded")
     scratch.drop(fetched)
@@ -261,8 +259,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     scratch = Scratch(spark, "repeats")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_bits", F.xxhash64("text").bitwiseAND(F.lit(TEXT_BITS)).cast("int"))
-    once = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    runs = removed_windows(rows, scratch, once)
+    runs = removed_windows(rows, scratch)
     place = F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1))
     by_doc = runs.groupBy(F.col("doc_id").alias("d"), F.shiftright("at", PLACE).cast("int").alias("t")).agg(F.collect_list(F.struct(place.alias("pos"), "n")).alias("runs"))
     held = rows.join(by_doc, (F.col("doc_id") == F.col("d")) & (F.col("text_bits") == F.col("t")), "left").select("doc_id", "text", "runs")

@@ -52,6 +52,25 @@ def test_repeats_of_all_kinds(spark, monkeypatch, crowd):
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 
+def test_a_long_text_folded_in_parts(spark, monkeypatch):
+    def small(batches):  # sent by value: the limits are lowered where Python runs
+        from millrace.llm import suffix_dedup as there
+
+        held = there.SEGMENT, there.PASS_BYTES, there.FOLD_BYTES
+        there.SEGMENT, there.PASS_BYTES, there.FOLD_BYTES = 400, 400, 800
+        try:
+            yield from there._cut(batches)
+        finally:
+            there.SEGMENT, there.PASS_BYTES, there.FOLD_BYTES = held
+
+    monkeypatch.setattr(op, "_cut", small)
+    rng = random.Random(7)
+    other = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    again = other(300)
+    rows = [(i, other(150) + again + other(1500) + again + other(1100) + again[:220] + other(90)) for i in range(3)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
+
+
 def test_index_statistics():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
