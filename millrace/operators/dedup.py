@@ -17,6 +17,8 @@ from millrace.settings import DEFAULT, Settings
 
 REASONS = ("same_canonical_url", "same_normalized_url", "same_content_hash", "near_duplicate_text")
 MOST_ROUNDS = 200
+#: Classes of a MinHash bucket that are compared in one place.
+BUCKET = 256
 
 
 def shingle_table(docs: DataFrame, key: str, body: str, size: int, work: Work) -> DataFrame:
@@ -51,18 +53,29 @@ def similar_sets(docs: DataFrame, key: str, body: str, work: Work, settings: Set
 
 
 def banded_pairs(docs: DataFrame, key: str, body: str, work: Work, settings: Settings = DEFAULT) -> DataFrame:
-    """(i, j, similarity) by MinHash: signatures that agree on a whole band, then their estimated similarity. Pairs near the limit may be missed."""
+    """(i, j, similarity) by MinHash: signatures that agree on a whole band, then their estimated similarity. Pairs near the limit may be missed.
+
+    Rows of equal signatures are folded into the class of the smallest id, to which each other one is linked with
+    similarity 1; the first rows of classes are compared with all others that share a bucket. So two rows are similar
+    if they have one class or their classes are linked. Buckets of more than `BUCKET` classes are dealt over pairs of parts.
+    """
     n, bands = settings.minhash_permutations, settings.minhash_bands
     rows = n // bands
     shingled = docs.select(F.col(key).alias("id"), text.shingles(F.coalesce(F.col(body), F.lit("")), settings.shingle_words).alias("s")).where(F.size("s") > 0)
     signed = work.table(shingled.select("id", text.minhash(F.col("s"), n).alias("m")), "signatures")
     parts = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("m", b * rows + 1, rows)).alias("key")) for b in range(bands)))
+    classes = signed.groupBy("m").agg(F.min("id").alias("i"))
+    copies = signed.join(classes, "m").where("id > i").select("i", F.col("id").alias("j"), F.lit(1.0).alias("similarity"))
+    signed = work.table(classes.select(F.col("i").alias("id"), "m"), "classes")
     keyed = signed.select("id", F.explode(parts).alias("p")).select("id", "p.band", "p.key")
-    hub = keyed.groupBy("band", "key").agg(F.min("id").alias("i"), F.count("*").alias("k")).where("k > 1")
-    met = keyed.join(hub, ["band", "key"]).where("id > i").select("i", F.col("id").alias("j")).distinct()
+    held = keyed.join(keyed.groupBy("band", "key").agg(F.count("*").alias("k")).where("k > 1"), ["band", "key"]).withColumn("parts", F.ceil(F.col("k") / BUCKET).cast("int"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    one = held.select("band", "key", F.col("id").alias("x"), F.col("part").alias("u"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("v"))
+    two = held.select("band", "key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("u"), F.col("part").alias("v"))
+    met = one.join(two, ["band", "key", "u", "v"]).where("u < v or x < y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
     left, right = signed.select(F.col("id").alias("i"), F.col("m").alias("mi")), signed.select(F.col("id").alias("j"), F.col("m").alias("mj"))
     scored = met.join(left, "i").join(right, "j").withColumn("similarity", text.minhash_jaccard(F.col("mi"), F.col("mj")))
-    return scored.where(F.col("similarity") >= settings.near_dup_jaccard).select("i", "j", "similarity")
+    return scored.where(F.col("similarity") >= settings.near_dup_jaccard).select("i", "j", "similarity").union(copies)
 
 
 def first_kept(keys: DataFrame, classes: DataFrame, links: DataFrame, work: Work) -> DataFrame:
