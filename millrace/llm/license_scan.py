@@ -5,7 +5,8 @@ one space) and looked up among the known licence sentences; the identifiers foun
 matched against ordered rules. A rule fires if its identifiers occur in that order, others between or not.
 
 Defined cases: null and empty texts have no sentence and no licence; repeated sentences count each time;
-a sentence is known only whole. There is no join and no shuffle: the tables of sentences and rules are
+a sentence is known only whole. A sentence ends at a full stop or the like, or at a line without letters and digits; it
+may be wrapped over lines (comment marks count as white space) and may start or end at any line break. There is no join and no shuffle: the tables of sentences and rules are
 literals, and a text without any of a few key words skips the sentence work.
 """
 
@@ -40,6 +41,11 @@ SENTENCES = {
     "bsd_endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "all_rights": ["all rights reserved"],
 }
+# Further sentences, in the words of the real notices. OP3_SQL, which also ends a sentence at each line break, does not know them.
+REAL_SENTENCES = {
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+}
 # Ordered rules, (licence, identifiers that follow one another).
 RULES = [
     ("Apache-2.0", ["apache2_notice"]),
@@ -56,38 +62,50 @@ RULES = [
     ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("Proprietary", ["all_rights"]),
 ]
+REAL_RULES = [("GPL-2.0-or-later", ["gpl2_terms", "gpl_hope", "gpl_received"])]
 #: Every known sentence holds one of these; a test asserts it.
-KEYS = ("licens", "copyright", "permission", "redistribut", "warrant", "rights reserved", "gnu general")
+KEYS = ("licens", "copyright", "permission", "redistribut", "warrant", "reserved", "gnu general")
 SPLIT = "[.!?;:]+[\\t\\r\\n ]+|[\\r\\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower-case words; sentences end at \\x01, line breaks within them are \\n, all else between words is one space."""
+    steps = [
+        (r"\r\n?", "\n"),
+        (r"[.!?;:]++[\t\n ]++", "\x01"),
+        (r"\n[^a-z0-9\x01\n]*+(?=\n)", "\x01"),
+        (r"[^a-z0-9\x01\n]++", " "),
+        (r" ?([\x01\n]) ?", "$1"),
+    ]
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return F.trim(text)
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in its order."""
-    low = F.translate(text, UPPER, LOWER)
+    low = F.translate(text, UPPER + "\x01", LOWER + " ")
     wanted = F.lit(False)
     for key in KEYS:
         wanted = wanted | F.contains(low, F.lit(key))
-    any_of = "|".join(KEYS)
+    forms = sorted(((form, name) for table in (SENTENCES, REAL_SENTENCES) for name, of in table.items() for form in of), key=lambda x: (-len(x[0]), x))
+    whole = "(?<![^\x01\n])(?:" + "|".join(form.replace(" ", "[ \n]") for form, _ in forms) + ")(?![^\x01\n])"
+
     def known(sentence: Column) -> Column:
         found = F.lit(None).cast("string")
-        for name, forms in SENTENCES.items():
-            found = F.when(sentence.isin(*forms), F.lit(name)).otherwise(found)
+        for form, name in forms:
+            found = F.when(sentence == form, F.lit(name)).otherwise(found)
         return found
 
-    sentences = F.filter(F.split(low, SPLIT), lambda s: s.rlike(any_of))
-    ids = F.array_compact(F.transform(F.transform(sentences, normalised), known))
+    ids = F.transform(F.regexp_extract_all(normalised(low), F.lit(whole), F.lit(0)), lambda s: known(F.translate(s, "\n", " ")))
     return F.when(wanted, ids).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
     """The licences whose rule fires, sorted."""
     line = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    fired = [F.when(line.rlike(".*".join(f" {x} " for x in rule)), F.lit(name)) for name, rule in RULES]
+    fired = [F.when(line.rlike(".*".join(f" {x} " for x in rule)), F.lit(name)) for name, rule in RULES + REAL_RULES]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*fired))))
 
 

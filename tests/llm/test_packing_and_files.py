@@ -182,3 +182,13 @@ def test_licences(spark, odd, none):
     assert got[5][1] == ["CC-BY-NC-4.0", "MIT"] and got[6] == ([], []) and got[7][1] == ["MIT"]
     rows = license_scan.scan(odd)
     assert rows.count() == 13 and license_scan.scan(none).count() == 0 and "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS.\n\nYou should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."
+    wrap = lambda t, mark="", end="\n": end.join(mark + line for part in t.split("\n\n") for line in [*textwrap.wrap(part, 70), ""])
+    texts = [wrap(MIT), wrap(MIT, " * "), wrap(MIT, "", "\r\n"), "MIT License\n" + wrap(MIT), gpl, wrap(gpl, "# "), wrap(gpl.replace("version 3", "version 2"), "// "), wrap("Licensed under the MIT License") + "\n" + wrap("All rights reserved")]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [["MIT"]] * 4 + [["GPL-3.0-or-later"]] * 2 + [["GPL-2.0-or-later"], ["MIT", "Proprietary"]]
