@@ -2,14 +2,15 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and telephone numbers, by pattern and check.
 To these the method adds terms that disclose a protected entity. An entity is a base span's kind and
-value; the terms near it (`NEAR` characters to either side) are counted over all documents, and
+value; the terms of the documents it stands in (outside base spans) are counted over all documents, and
 pointwise mutual information says how much of the entity's information a term gives away:
 
     disclosure(e, t) = log(N co(e, t) / (df(e) df(t))) / log(N / df(e))
 
-with N documents, df over all of them and co the documents in which t stands near e. It is 1 if t
-never stands elsewhere. Terms of `SUPPORT` documents or more whose disclosure reaches `THRESHOLD` are
-generalised in that context; those that reach `REMOVED` are removed.
+with N documents, df over all of them and co the documents in which t stands together with e. It is 1 if t
+never stands elsewhere. Terms with an entity in `SUPPORT` documents or more whose disclosure reaches `THRESHOLD`
+are generalised wherever they stand, in any document; those that reach `REMOVED` are removed. The highest
+disclosure of a term, over all entities, decides.
 
 Defined cases: null texts are empty and have no spans; each row is a document, so repeated rows count each
 in the statistics and get a row each; spans of different kinds may overlap (a sanitised text merges them); positions are code
@@ -40,7 +41,6 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 TERM = r"[\p{L}\p{N}_]{3,}+"
 APART = r"[^\p{L}\p{N}_]+"
-NEAR = 48
 SUPPORT = 3
 THRESHOLD, REMOVED = 0.9, 0.999
 #: Candidate terms that are broadcast at most (about 40 MB); beyond, all words are counted first and joined then.
@@ -110,18 +110,14 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """For each span the words near it that no span touches: entity, words (term, start, end)."""
+def _apart(words: Column, spans: Column) -> Column:
+    """The words that no span touches."""
+    return F.filter(words, lambda w: ~F.exists(spans, lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"])))
 
-    def words(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        last = F.least(s["end"] + NEAR, F.length(text))
-        side = lambda a, b: F.transform(found(F.substr(text, a + 1, b - a), TERM, "term"), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + a).alias("start"), (w["end"] + a).alias("end")))
-        cut = lambda w: ((w["start"] == first) & (first > 0)) | ((w["end"] == last) & (last < F.length(text)))
-        touched = lambda w: F.exists(spans, lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"]))
-        return F.filter(F.concat(side(first, s["start"]), side(s["end"], last)), lambda w: ~cut(w) & ~touched(w))
 
-    return F.transform(spans, lambda s: F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), words(s).alias("words")))
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct terms of a text outside its spans."""
+    return F.array_distinct(F.transform(_apart(found(text, TERM, "term"), spans), lambda w: F.lower(w["value"])))
 
 
 def _documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,21 +129,19 @@ def detect(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, tid (hash of the text), base (spans), added (start, end, how), a row for each row; texts are read twice and never shuffled."""
     rows = _documents(docs)
     with_spans = rows.select("doc_id", "tid", "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, _near(F.col("text"), F.col("base")))
-    base = scratch.table(with_spans.select("doc_id", "tid", "base", near.alias("near")), "base")
+    base = scratch.table(with_spans.select("doc_id", "tid", "base", F.when(F.size("base") > 0, _terms(F.col("text"), F.col("base"))).alias("terms")), "base")
     some = base.where(F.size("base") > 0)
-    context = some.select("doc_id", "tid", F.explode("near").alias("c")).select("doc_id", "tid", "c.entity", F.explode("c.words").alias("w")).select("doc_id", "tid", "entity", "w.*")
-    context = scratch.table(context, "context")
-    named = F.array_distinct(F.transform("near", lambda c: c["entity"]))
-    together = F.array_distinct(F.flatten(F.transform("near", lambda c: F.transform(c["words"], lambda w: F.struct(c["entity"].alias("entity"), w["term"].alias("term"))))))
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
     entities = some.select(F.explode_outer(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("dfe")).where(F.col("dfe") >= SUPPORT)
-    pairs = some.select(F.explode_outer(together).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("co")).where(F.col("co") >= SUPPORT)
+    entities = scratch.table(entities, "entities")
     n = base.count()
-    # A term is in as many documents at least as it stands near entities in; that alone rules out the common ones, exactly.
-    beside = F.array_distinct(F.flatten(F.transform("near", lambda c: F.transform(c["words"], lambda w: w["term"]))))
-    least = some.select(F.explode_outer(beside).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    # Only entities of enough documents can have telling terms; their documents' terms are counted, each once.
+    held = some.select(F.explode_outer(named).alias("entity"), "terms").join(entities, "entity")
+    pairs = held.select("entity", "dfe", F.explode_outer("terms").alias("term")).groupBy("entity", "term", "dfe").agg(F.count("*").alias("co")).where(F.col("co") >= SUPPORT)
+    # A term is in as many documents at least as hold it beside any entity; that alone rules out the common ones, exactly.
+    least = some.select(F.explode_outer("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     most = F.col("co") * F.pow(F.lit(float(n)) / F.col("dfe"), 1 - THRESHOLD) * (1 + 1e-9)
-    pairs = scratch.table(pairs.join(entities, "entity").join(least, "term").where(F.col("least") <= most).drop("least"), "pairs")
+    pairs = scratch.table(pairs.join(least, "term").where(F.col("least") <= most).drop("least"), "pairs")
     terms = scratch.table(pairs.select("term").distinct(), "terms")
     # outer: the plain form would have the optimizer split each text once more, to test that the list is not empty
     words = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), APART))).alias("term"))
@@ -157,12 +151,16 @@ def detect(docs: DataFrame, scratch: Scratch) -> DataFrame:
         counted = words.groupBy("term").agg(F.count("*").alias("dft")).join(terms, "term", "left_semi")
     disclosure = F.log(F.lit(float(n)) * F.col("co") / (F.col("dfe") * F.col("dft"))) / F.log(F.lit(float(n)) / F.col("dfe"))
     telling = pairs.join(counted, "term").where(F.col("dfe") < n).withColumn("disclosure", disclosure).where(F.col("disclosure") >= THRESHOLD)
-    how = F.when(F.col("disclosure") >= REMOVED, "removed").otherwise("general")
-    marked = context.distinct().join(telling.select("entity", "term", how.alias("how")), ["entity", "term"]).groupBy("doc_id", "tid", "start", "end").agg(F.max("how").alias("how"))
+    how = F.when(F.max("disclosure") >= REMOVED, "removed").otherwise("general")
+    telling = scratch.table(telling.groupBy("term").agg(how.alias("how")), "telling")
+    spread = F.broadcast(telling) if telling.count() <= BROADCAST_TERMS else telling
+    spans = rows.select("doc_id", "tid", F.explode_outer(found(F.col("text"), TERM, "term")).alias("w")).select("doc_id", "tid", F.lower("w.value").alias("term"), "w.start", "w.end")
+    marked = spans.join(spread, "term").select("doc_id", "tid", "start", "end", "how").distinct()
     added = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "how"))).alias("added"))
     added = scratch.table(added, "added")
     held = base.select("doc_id", "tid", "base").join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("tid", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left")
-    return held.select("doc_id", "tid", "base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,how:string>>")).alias("added"))
+    apart = _apart(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,how:string>>")), F.col("base"))
+    return held.select("doc_id", "tid", "base", apart.alias("added"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -56,6 +56,21 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[1000] and "Zebulon" not in clean[1000] and "jo@" not in clean[1000] and "people" in clean[1000]
 
 
+def test_terms_far_away_and_elsewhere(spark):
+    rng = random.Random(4)
+    fill = lambda: " ".join(rng.choice(["the", "and", "said", "again", "people"]) for _ in range(40))
+    rows = [(i, fill()) for i in range(400)]
+    rows += [(1000 + i, f"Zebulon {fill()} then jo@ex.org {fill()} zebulon") for i in range(9)]
+    rows += [(2000, f"{fill()} ZEBULON {fill()}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["added"] for r in pii.detect(df, Scratch(spark, "t")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    for i, t in rows:
+        words = [t[a["start"] : a["end"]] for a in found[i]]
+        assert [w.lower() for w in words if w != "then"] == ["zebulon"] * (2 if 1000 <= i < 1009 else i == 2000)
+        assert "zebulon" not in clean[i].lower()
+
+
 def test_overlaps_merge(spark):
     t = "call +4111111111111111 or 1.2.3.4 now"
     spans = "array(named_struct('start', 5, 'end', 22, 'label', '[A]'), named_struct('start', 6, 'end', 22, 'label', '[B]'), named_struct('start', 26, 'end', 33, 'label', '[C]'))"
