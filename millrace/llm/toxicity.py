@@ -1,27 +1,33 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
-A window is one lower-cased word, written as a code: four bytes for each four letters in a row, with
-the spaces around it. (Plain words are too short for zstandard: a literal costs no more than a match.)
-Its distance is its compressed length with the dictionary of ordinary words less that with the
-dictionary of toxic words; a text's distance is that of its most toxic window. A sigmoid about a
-calibrated threshold makes it a score.
+A text is lower-cased, what divides words becomes one space, and each byte is written with the three
+that follow it as a hash of four bytes. (In plain text a literal costs zstandard half a byte and a match three
+bytes, so it cannot tell short words apart; written wide, a letter costs as much as a match.) Windows of `WINDOW` words,
+one from each word on, are compressed twice: with the dictionaries of ordinary text, and with the toxic one beside
+them. What the toxic dictionary saves, beyond `SLACK` bytes and up to `MOST_SAVED`, is added up over the
+windows of a text and divided by the root of their number: that is the text's distance. A sigmoid about
+a threshold makes it a score.
 
-The toxic dictionary is trained on the words that set toxic texts apart: those holding at least three
-letter groups that are much more frequent, in documents, among toxic than among ordinary labelled texts. The ordinary
-dictionary is trained on the words of ordinary texts. Dictionaries, and the threshold, which is chosen on a
-quarter that the dictionaries did not see, come from a bounded sample of labelled rows (`SAMPLE`) outside the held-out fold.
+All dictionaries are trained by zstandard, on windows of a bounded sample of labelled rows (`SAMPLE`) outside the held-out fold:
+
+1. The ordinary dictionary, on windows of ordinary texts.
+2. One toxic dictionary for each half of the toxic texts. Windows of a half that the other half's dictionary saves
+   bytes on, more than it does on nearly all ordinary windows, are toxic beyond their own text; the next round
+   trains on them alone.
+3. Ordinary windows that a toxic dictionary saves bytes on train a second ordinary dictionary.
+
+2 and 3 alternate for `ROUNDS` rounds. The threshold is always chosen on a quarter of the sample that no dictionary has seen.
 
 Defined cases: null, empty and wordless texts have distance 0 and so are not toxic; without labels of both
-kinds, or without any word that sets toxic texts apart, every text has distance 0; repeated rows are scored each.
+kinds, or with too few texts to train on, every text has distance 0; texts of any length are read whole, in pieces; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,160 +40,194 @@ from millrace.llm.common import bucket, ship, texts
 from millrace.llm.labelled import sample
 
 #: Labelled rows of label 0 and of label 1 at most.
-SAMPLE = (4500, 2000)
+SAMPLE = (4000, 2000)
 REJECTED = 0.5
-TOXIC_BYTES, ORDINARY_BYTES = 16 * 1024, 110 * 1024
-#: A letter group sets toxic texts apart if it is in so many of them at least, with such a likelihood ratio and so many times the share.
-SUPPORT, G, RATIO, GROUPS = 4, 14.0, 30, 3
+WINDOW = 3
+ORDINARY_BYTES, HARD_BYTES, FIRST_BYTES, TOXIC_BYTES = 110 * 1024, 32 * 1024, 110 * 1024, 8 * 1024
+ROUNDS = 4
+#: Bytes of windows that one training, and one half's or round's comparison, takes at most.
+TRAINED_ON, COMPARED = 16 << 20, 24 << 20
+SLACK, MOST_SAVED, SMOOTH = 3, 12, 20
+#: Savings from which a window counts as toxic, or as ordinary but hard, while fitting.
+TELLING, HARD = 8, 6
+LEAST_TEXTS = 8
+#: A false alarm weighs so many misses (as rates) when the threshold is chosen.
+ALARM = 3
+#: Characters of a text that are coded at once.
+PIECE = 1 << 16
 _ODD = np.random.default_rng(3).integers(1 << 40, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
-#: Threshold unless there are `ENOUGH` toxic texts to calibrate it on, and what it may become.
-THRESHOLD, RANGE, ENOUGH = 8.5, np.arange(6.5, 13), 200
-SLOPE = 2.0
-#: Distances that a worker remembers.
-REMEMBERED = 200_000
+_OTHER = re.compile(r"[\W_]+")
+
+
+class Model(NamedTuple):
+    toxic: bytes
+    ordinary: bytes
+    threshold: float
+    slope: float
+
+
+def plain(text: str) -> str:
+    return " " + _OTHER.sub(" ", text.lower()).strip() + " "
+
+
+def wide(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of a plain text: four bytes for each byte, hashing it with the next three, and where words start (and where the last one ends)."""
+    raw = np.frombuffer(text.encode("utf-8", "replace") + bytes(3), np.uint8)
+    b = raw.astype(np.uint32)
+    h = (b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24) * np.uint32(0x9E3779B1)
+    h = (h ^ h >> 15) * np.uint32(0x85EBCA77)
+    return (h ^ h >> 13).astype("<u4"), np.flatnonzero(raw[:-3] == 32)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The plain text, in pieces that share WINDOW - 1 words, so that each window stands in one piece."""
+    lead: list[str] = []
+    held = ""
+    for a in range(0, len(text), PIECE):
+        *whole, held = _OTHER.sub(" ", held + text[a : a + PIECE].lower()).split(" ")
+        words = [w for w in whole if w]
+        if words:
+            yield " " + " ".join(lead + words) + " "
+            lead = (lead + words)[1 - WINDOW :]
+    if held:
+        yield " " + " ".join([*lead, held]) + " "
 
-_WORD = re.compile(r"\w+")
 
+def windows(piece: str, step: int = 1) -> list[bytes]:
+    """The windows of a plain text of one or more words; fewer words than a window make one."""
+    codes, at = wide(piece)
+    raw, n = codes.tobytes(), len(at) - 1
+    at4 = (4 * at).tolist()
+    return [raw[at4[i] : max(at4[min(i + WINDOW, n)] - 8, at4[i] + 4)] for i in range(0, max(1, n - WINDOW + 1), step)] if n > 0 else []
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
 
+def _some(held: list[str], most: int, step: int = 1) -> list[bytes]:
+    """Windows of plain texts, at most about so many bytes of them, by a fixed random choice."""
+    rng = np.random.default_rng(7)
+    size = sum(len(t.encode("utf-8", "replace")) for t in held) * 4 * (WINDOW if step == 1 else 1)
+    share = min(1.0, most / max(1, size))
+    found = []
+    for text in held:
+        part = windows(text, step)
+        found += part if share == 1 else [w for w, r in zip(part, rng.random(len(part)), strict=True) if r < share]
+    return found
 
-def _groups(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in (5, 6) for i in range(len(w) - n + 1)}
 
+def _trained(found: list[bytes], size: int) -> bytes:
+    """A dictionary trained on windows; of few windows a smaller one."""
+    rng = np.random.default_rng(7)
+    total = sum(map(len, found))
+    if total > TRAINED_ON:
+        found = [found[i] for i in rng.permutation(len(found))[: int(len(found) * TRAINED_ON / total)]]
+        total = TRAINED_ON
+    return zstandard.train_dictionary(max(1024, min(size, total // 3)), found, k=32, d=8).as_bytes()
 
-def code(word: str) -> bytes:
-    w = f" {word} "
-    return b"".join(zlib.crc32(w[i : i + 4].encode("utf-8", "surrogatepass")).to_bytes(4, "little") for i in range(max(1, len(w) - 3)))
 
+def _compressor(raw: bytes):
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    p = zstandard.ZstdCompressionParameters.from_level(9, min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
-def _apart(a: int, b: int, nt: int, no: int) -> bool:
-    """Whether being in a of nt toxic and b of no ordinary texts sets toxic texts apart, by Dunning's likelihood ratio."""
-    if a < SUPPORT or a / nt <= RATIO * b / no:
-        return False
-    e = (a + b) / (nt + no)
-    return 2 * (a * math.log(a / (e * nt)) + (b * math.log(b / (e * no)) if b else 0)) > G
 
+def _saved(found: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each window."""
+    a, b = _compressor(ordinary), _compressor(toxic + ordinary)
+    return np.fromiter((len(a(w)) - len(b(w)) for w in found), np.int64, len(found))
 
-def _one_of_near_copies(docs: list[np.ndarray], chosen: list[int]) -> list[int]:
-    """Those of the chosen texts that do not share all of six minima of hashed words with earlier ones: copies would make any rare word look telling."""
+
+class Distance:
+    """How much better the toxic dictionary explains a text."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.ordinary, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
+
+    def text(self, text: str) -> float:
+        total = n = 0
+        a, b = self.ordinary, self.both
+        for piece in pieces(text):
+            found = windows(piece)
+            n += len(found)
+            for w in found:
+                saved = len(a(w)) - len(b(w)) - SLACK
+                if saved > 0:
+                    total += min(saved, MOST_SAVED)
+        return total / (SMOOTH + n) ** 0.5
+
+
+def _one_of_near_copies(held: list[str]) -> list[str]:
+    """The texts that do not share all of six minima of their hashed windows with earlier ones: a toxic text's copies would vouch for its ordinary words."""
     seen: set[tuple[int, int]] = set()
     kept = []
-    for i in chosen:
-        w = docs[i].astype(np.uint64) + np.uint64(1)
-        marks = [(k, int((w * odd >> np.uint64(20) & np.uint64(0xFFFFFFFF)).min())) for k, odd in enumerate(_ODD)] if len(w) else []
-        if not marks or sum(m in seen for m in marks) < 6:
-            kept.append(i)
+    for text in held:
+        marked = np.fromiter(map(zlib.crc32, windows(text)), np.uint64) + np.uint64(1)
+        marks = [(k, int((marked * odd >> np.uint64(20)).min())) for k, odd in enumerate(_ODD)]
+        if not all(m in seen for m in marks):
+            kept.append(text)
         seen.update(marks)
     return kept
 
 
-def _telling(names: list[str], toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> list[tuple[str, int]]:
-    """Words that set toxic texts apart, with the number of toxic texts that hold each. Texts are arrays of word numbers."""
-    nt, no = len(toxic) + 1, len(ordinary) + 1
-    by_group: Counter = Counter()
-    for doc in toxic:
-        by_group.update(set().union(*(_groups(names[i]) for i in doc)))
-    place = {g: k for k, g in enumerate(g for g, a in by_group.items() if a >= SUPPORT)}
-    counts, of = np.zeros(len(place) + 1, np.int64), {}
-    for doc in ordinary:
-        held: set[int] = set()
-        for i in doc.tolist():
-            if i not in of:
-                of[i] = tuple(place[g] for g in _groups(names[i]) if g in place)
-            held.update(of[i])
-        counts[list(held)] += 1
-    groups = {g for g, k in place.items() if _apart(by_group[g], int(counts[k]), nt, no)}
-    tw, ow = (np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(names)) for docs in (toxic, ordinary))
-    found = [(names[i], int(tw[i])) for i in np.flatnonzero(tw).tolist() if tw[i] / nt > RATIO * ow[i] / no and len(_groups(names[i]) & groups) >= GROUPS]
-    return sorted(found, key=lambda x: (-x[1], x[0]))
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the samples themselves where all of them fit: training would only leave some out."""
-    whole = b"".join(dict.fromkeys(reversed(samples)))
-    if len(whole) <= size:
-        return whole
-    return zstandard.train_dictionary(size, samples, k=48, d=8).as_bytes()
-
+def _threshold(toxic: np.ndarray, ordinary: np.ndarray) -> float:
+    """The middle of the first widest range of thresholds that lose least, by rates of misses and false alarms."""
+    at = np.unique(np.concatenate([[0.0], toxic, ordinary]))
+    between = np.append((at[1:] + at[:-1]) / 2, at[-1] + 1)
+    width = np.append(np.diff(at), 0)
+    loss = np.array([(toxic < t).mean() + ALARM * (ordinary >= t).mean() for t in between])
+    least = np.flatnonzero(loss <= loss.min() + 1e-12)
+    return float(between[least[np.argmax(width[least])]])
 
-class Distance:
-    """Compressed length with the ordinary dictionary less that with the toxic one, remembered by word."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = self._with(toxic), self._with(ordinary)
-        self.seen: dict[str, int] = {}
-
-    @staticmethod
-    def _with(raw: bytes):
-        trained = raw[:4] == b"\x37\xa4\x30\xec"
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
-        p = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
-        d.precompute_compress(compression_params=p)
-        return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
-
-    def word(self, w: str) -> int:
-        found = self.seen.get(w)
-        if found is None:
-            b = code(w)
-            found = len(self.ordinary(b)) - len(self.toxic(b))
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[w] = found
-        return found
-
-    def text(self, text: str) -> int:
-        return max(map(self.word, words(text)), default=0)
-
-
-def fit(held: list[str], labels: np.ndarray) -> tuple[bytes, bytes, float] | None:
-    """The two dictionaries and the threshold."""
-    number: dict[str, int] = {}
-    docs = [np.unique(np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int32)) for t in held]
-    names = list(number)
-    toxic, ordinary = (_one_of_near_copies(docs, [i for i in range(len(held)) if labels[i] == y]) for y in (1, 0))
-    enough = len(toxic) >= ENOUGH
-    judged = {i for part in (toxic, ordinary) for i in part[3::4]} if enough else set()
-    learnt = [docs[i] for i in ordinary if i not in judged]
-    telling = _telling(names, [docs[i] for i in toxic if i not in judged], learnt)
-    plain = np.bincount(np.concatenate([np.zeros(0, np.int32), *learnt]), minlength=len(names))
-    if not telling or not plain.any():
+def fit(held: list[str], labels: np.ndarray) -> Model | None:
+    """The dictionaries and the threshold."""
+    toxic, ordinary = (_one_of_near_copies([p for t, y in zip(held, labels, strict=True) if y == label and len(p := plain(t)) > 2]) for label in (1, 0))
+    if min(len(toxic), len(ordinary)) < LEAST_TEXTS:
+        return None
+    seen = [[t for i, t in enumerate(part) if i % 4 != 3] for part in (toxic, ordinary)]
+    try:
+        halves = [_some(seen[0][h::2], COMPARED) for h in (0, 1)]
+        common = _trained(_some(seen[1], TRAINED_ON, WINDOW), ORDINARY_BYTES)
+        chosen, hard, extra = halves, [], b""
+        for turn in range(ROUNDS):
+            tried = [_trained(c, TOXIC_BYTES if turn else FIRST_BYTES) for c in chosen]
+            null = _some(seen[1][turn::ROUNDS], COMPARED // 2)
+            saved = [_saved(null, extra + common, t) for t in tried]
+            hard += [w for w, a, b in zip(null, *saved, strict=True) if max(a, b) > HARD]
+            extra = _trained(hard, HARD_BYTES) if len(hard) >= 50 else b""
+            chosen = []
+            for h in (0, 1):
+                least = max(TELLING, float(np.quantile(saved[1 - h], 0.999)))
+                better = _saved(halves[h], extra + common, tried[1 - h])
+                chosen.append([w for w, s in zip(halves[h], better.tolist(), strict=True) if s > least])
+        dictionary = _trained(chosen[0] + chosen[1], TOXIC_BYTES)
+    except zstandard.ZstdError:  # too little to train a dictionary on
         return None
-    toxic_samples = [code(w) for w, n in telling for _ in range(min(n, 20))]
-    common = sorted(((names[i], int(plain[i])) for i in np.flatnonzero(plain).tolist()), key=lambda x: (-x[1], x[0]))[:40_000]
-    ordinary_samples = [code(w) for w, n in common for _ in range(min(n, 3))]
-    dictionaries = _dictionary(toxic_samples, TOXIC_BYTES), _dictionary(ordinary_samples, ORDINARY_BYTES)
-    threshold = THRESHOLD
-    if enough:
-        d = Distance(*dictionaries)
-        x = {y: np.array([max((d.word(names[w]) for w in docs[i].tolist()), default=0) for i in part if i in judged]) for y, part in ((1, toxic), (0, ordinary))}
-        gain = {t: (x[1] > t).mean() - 5 * ((x[0] > t).mean() if len(x[0]) else 0) for t in RANGE.tolist()}
-        threshold = max(gain, key=lambda t: (round(gain[t], 4), -abs(t - THRESHOLD)))
-    return *dictionaries, threshold
-
-
-def model(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float] | None:
+    distance = Distance(dictionary, extra + common)
+    told = [np.array([distance.text(t) for t in part[3::4]]) for part in (toxic, ordinary)]
+    threshold = max(_threshold(*told), 1e-3)
+    return Model(dictionary, extra + common, threshold, threshold / 4)
+
+
+def model(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows, _ = sample(docs, labels, "toxic", SAMPLE)
     return fit(list(rows["text"]), rows["y"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, fitted: tuple[bytes, bytes, float] | None) -> DataFrame:
-    """doc_id, score, distance. The model is two dictionaries of bounded size."""
+def score(docs: DataFrame, fitted: Model | None) -> DataFrame:
+    """doc_id, score, distance. The model is dictionaries of bounded size."""
     ship(docs.sparkSession)
     held_model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = held_model.value
-        distance = Distance(*fitted[:2]) if fitted else None
-        threshold = fitted[2] if fitted else THRESHOLD
+        distance = Distance(fitted.toxic, fitted.ordinary) if fitted else None
+        threshold, slope = (fitted.threshold, fitted.slope) if fitted else (1.0, 0.25)
         for batch in batches:
-            d = np.array([distance.text(t.as_py()) if distance else 0 for t in batch.column(1)], np.int64)
-            p = 1 / (1 + np.exp(-(d - threshold) / SLOPE))
+            d = np.array([distance.text(t.as_py()) if distance else 0.0 for t in batch.column(1)], np.float64)
+            p = 1 / (1 + np.exp(np.clip((threshold - d) / slope, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(d)], names=["doc_id", "score", "distance"])
 
-    return texts(docs).mapInArrow(go, "doc_id long, score double, distance long")
+    return texts(docs).mapInArrow(go, "doc_id long, score double, distance double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,9 +245,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("boolean")
     def fine(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = held_model.value
-        distance = Distance(*fitted[:2]) if fitted else None
+        distance = Distance(fitted.toxic, fitted.ordinary) if fitted else None
         for text in parts:
-            yield pd.Series([distance is None or distance.text(t) < fitted[2] for t in text], dtype=bool)
+            yield pd.Series([distance is None or distance.text(t) < fitted.threshold for t in text], dtype=bool)
 
     return docs.where(fine(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
