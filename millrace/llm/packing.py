@@ -7,14 +7,15 @@ rank among those of their length; ranks come from salted groups with running off
 length that a third of all pieces have is not ranked in one task.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table
-packs to nothing; strings of special tokens in a text are ordinary text; only doc_id and text are read.
+packs to nothing; the string of a special token in a text is that token's one id,
+as the tokenizer has it; long texts are encoded in parts; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,8 +30,11 @@ from millrace.llm.common import Scratch, ship, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a length that one ranking task should get at most, about.
-RANKED_TOGETHER = 200_000
+#: Pieces of a length that are ranked together, about: each length is dealt into shards of so many, at every size.
+RANKED_TOGETHER = 1000
+#: Characters of a text that are encoded at once, about.
+PART = 1 << 20
+_CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
@@ -131,38 +135,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def encoder(vocabulary: str, pattern: str):
-    """Text to ids, by the ranks of the same vocabulary (a test holds both tokenizers' ids equal)."""
-    import tiktoken
+def parts(text: str, size: int) -> Iterator[str]:
+    """A long text, cut only between a character that is no white space and a space with a letter behind it: there the tokenizer always begins a new token."""
+    start = 0
+    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+def encoder(vocabulary: str):
+    """Text to its ids, by the tokenizers library with its defaults (the string of a special token is that token)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a process for each core already
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(vocabulary).encode
+    return lambda text: np.concatenate([np.array(encode(p, add_special_tokens=False).ids, "<u4") for p in parts(text, PART)] + [np.array([END_ID], "<u4")])
 
 
 PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and ids). `vocabulary`: the ranks file, found on each executor if None."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and ids). `vocabulary`: the tokenizer's file, found on each executor if None."""
     ship(docs.sparkSession)
     fields = [*PIECE, ("ids", pa.list_(pa.int32()))] if with_ids else PIECE
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as P
 
-        encode = encoder(vocabulary or P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        encode = encoder(vocabulary or P.path("byte_bpe_50k.json"))
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = array("I", encode(text.as_py()))
-                ids.append(END_ID)
+                ids = encode(text.as_py())
                 start, n = 0, len(ids)
                 length = n % capacity or capacity
                 piece = 0
                 while start < n:
                     part = ids[start : start + length]
-                    row = (key, piece, start, length, zlib.crc32(part.tobytes()), part)
+                    row = (key, piece, start, length, zlib.crc32(part), part)
                     for c, v in zip(columns, row, strict=False):
                         c.append(v)
                     start, length, piece = start + length, capacity, piece + 1
@@ -176,8 +188,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` (as from pieces, written out) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = plan(histogram, capacity)
-    shards = max(1, -(-max(histogram.values(), default=0) // RANKED_TOGETHER))
-    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)).cast("int"))
+    shards = cut.sparkSession.createDataFrame([(k, -(-n // RANKED_TOGETHER)) for k, n in histogram.items()], "length long, _shards long")
+    dealt = cut.join(F.broadcast(shards), "length").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_shards")).cast("int")).drop("_shards")
     order = W.partitionBy("length").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
     before = dealt.groupBy("length", "_shard").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_shard").orderBy("doc_id", "piece", "start", "ids_crc32")))

@@ -64,15 +64,19 @@ def test_plan_fills_every_slot_once():
     assert packing.plan({}).shape == (0, 5)
 
 
-def test_pieces_against_the_other_tokenizer(spark, odd, none, monkeypatch):
+def test_pieces_against_the_tokenizer(spark, odd, none, monkeypatch):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    extra = spark.createDataFrame([(50, "<|endoftext|> it's  two  spaces\n\n \t x"), (51, "né " * 2047), (52, "a" * 30_000)], "doc_id long, text string")
+    extra = spark.createDataFrame([(50, "<|endoftext|> it's  two  spaces\n\n \t x"), (51, "né " * 2047), (52, "a" * 30_000), (53, "<|endoftext|> a"), (54, " " * 1_500_000 + "a"), (55, "it's <|endoftext|> two  words é1\n" * 50_000)], "doc_id long, text string")
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
+    monkeypatch.setattr(packing, "PART", 1000)
+    assert packing.encoder(P.path("byte_bpe_50k.json"))("<|endoftext|> a").tolist() == [50256, 257, 0]
+    assert list(packing.parts("ab  cd ef gh", 3)) == ["ab  cd", " ef", " gh"] and "".join(packing.parts("x y" * 999, 7)) == "x y" * 999
     docs = odd.select("doc_id", "text").union(extra)
+    in_parts = packing.encoder(P.path("byte_bpe_50k.json"))
+    assert all(in_parts(r["text"] or "").tolist() == [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect())
     rows = packing.pack(docs, with_ids=True).collect()
     want = []
     for r in docs.collect():
