@@ -72,11 +72,11 @@ def test_pieces_against_the_tokenizer(spark, odd, none, monkeypatch):
     extra = spark.createDataFrame([(50, "<|endoftext|> it's  two  spaces\n\n \t x"), (51, "né " * 2047), (52, "a" * 30_000), (53, "<|endoftext|> a"), (54, " " * 1_500_000 + "a"), (55, "it's <|endoftext|> two  words é1\n" * 50_000)], "doc_id long, text string")
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
     monkeypatch.setattr(packing, "PART", 1000)
-    assert packing.encoder(P.path("byte_bpe_50k.json"))("<|endoftext|> a").tolist() == [50256, 257, 0]
+    own = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert own("<|endoftext|> a").tolist() == [50256, 257, 0]
     assert list(packing.parts("ab  cd ef gh", 3)) == ["ab  cd", " ef", " gh"] and "".join(packing.parts("x y" * 999, 7)) == "x y" * 999
     docs = odd.select("doc_id", "text").union(extra)
-    in_parts = packing.encoder(P.path("byte_bpe_50k.json"))
-    assert all(in_parts(r["text"] or "").tolist() == [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect())
+    assert all(own(r["text"] or "").tolist() == [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect())
     rows = packing.pack(docs, with_ids=True).collect()
     want = []
     for r in docs.collect():
@@ -95,6 +95,17 @@ def test_pieces_against_the_tokenizer(spark, odd, none, monkeypatch):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_every_code_point():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for a in range(0, 0x110000, 4096):
+        text = "".join(f"a{c}a {c}{c} 1{c}1!{c}!  {c}\n{c}\n" for c in map(chr, range(a, a + 4096)) if not "\ud800" <= c <= "\udfff")
+        assert own(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], a
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "x" * 200_000
     body = "<html>" + "b" * 120
