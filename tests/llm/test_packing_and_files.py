@@ -207,3 +207,94 @@ def test_wrapped_licences(spark):
     texts = [wrap(MIT), wrap(MIT, " * "), wrap(MIT, "", "\r\n"), "MIT License\n" + wrap(MIT), gpl, wrap(gpl, "# "), wrap(gpl.replace("version 3", "version 2"), "// "), wrap("Licensed under the MIT License") + "\n" + wrap("All rights reserved")]
     got = {r["doc_id"]: r["licences"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [["MIT"]] * 4 + [["GPL-3.0-or-later"]] * 2 + [["GPL-2.0-or-later"], ["MIT", "Proprietary"]]
+
+
+TEXTS = {
+    "BSD-3-Clause": """Copyright (c) 2024, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+""",
+    "GPL-2.0-or-later": """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program; if not, write to the Free Software. */""",
+    "GPL-2.0-only": """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# version 2 as published by the Free Software Foundation.
+""",
+    "LGPL-2.1-or-later": """   This library is free software; you can redistribute it and/or
+   modify it under the terms of the GNU Lesser General Public
+   License as published by the Free Software Foundation; either
+   version 2.1 of the License, or (at your option) any later version.
+""",
+    "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all\ncopyright and related and neighboring rights to this software to the\npublic domain worldwide. This software",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+}
+
+
+def test_whole_licence_texts_and_their_sql(spark, odd, tmp_path):
+    import duckdb
+
+    bsd2 = TEXTS["BSD-3-Clause"].split("3. Neither")[0]
+    texts = [*TEXTS.items(), ("BSD-2-Clause", bsd2), *((n, t.replace("\n", "\r\n")) for n, t in TEXTS.items())]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(n, got[i]) for i, (n, _) in enumerate(texts)] == [(n, [n]) for n, _ in texts]
+    more = [(1000 + i, f"{a}{x}{b}") for i, (a, b, x) in enumerate((a, b, x) for (_, a), (_, b) in zip(texts, texts[1:], strict=False) for x in ("", "\n", "\n\n", ". ", " \n \t\n"))]
+    df = spark.createDataFrame([*rows, *more], "doc_id long, text string").union(odd.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).selectExpr("doc_id + 5000", "text"))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(license_scan.OP3_SQL).fetchall())
+    assert sorted(tuple(r) for r in license_scan.op3(spark, str(tmp_path)).collect()) == want and len(want) > 100
