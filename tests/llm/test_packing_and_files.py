@@ -167,6 +167,36 @@ def test_media_round_trip(spark, odd, tmp_path):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_many_signatures_cost_one_pass():
+    import time
+
+    machine = media.automaton()
+    for unit in (b"%PDF-1 ", b"PK\x03\x04 ", b"GIF89a" + bytes(7) + b"\x21\xfe\x05", b"\xff\xd8\xff\xe0\x00\x05ab", b"\0\0\0\x10ftypisomabcd"):
+        began = time.time()
+        assert not [x for x in media.media_in(unit * (4_000_000 // len(unit)), machine) if x[2] != "image/bmp"]
+        assert time.time() - began < 30, unit
+
+
+def test_the_query_values_against_values_computed_apart(spark, tmp_path):
+    texts = ["", None, "x", "é" * 64, "z" * 64, "%PDF-1 " * 300_000, *(f"text {i} " * i for i in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in media.op10(spark, str(tmp_path)).collect()}
+    readers = {"audio/wav": lambda b: wave.open(io.BytesIO(b)).readframes(1 << 30), "audio/basic": lambda b: b[24:], "image/bmp": lambda b: b[1078:], "image/png": None}
+    seen = set()
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        form = r["feature"].split(" ")[0]
+        stored = media.encode(payload, form)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if readers[form]:
+            assert readers[form](stored) == payload
+        seen.add(form)
+    assert len(seen) == 4
+
+
 def test_other_formats_and_sniffing(spark):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
