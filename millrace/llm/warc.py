@@ -2,19 +2,22 @@
 
 An archive is two tables in one folder: `payloads` holds each distinct payload once under its
 SHA-256, `headers` the exact header bytes of every record. A record is header + payload + CRLF CRLF,
-rebuilt by a join on the digest; reading verifies each stored payload against its digest.
+rebuilt by a join on the digest. Reading parses the rebuilt records and verifies their lengths and payloads.
 
 Defined cases: a null payload is empty; payloads under `least` bytes are always responses; of equal
 larger payloads the smallest page_id is the response (null ids last, then the smallest URL, then one
-of identical rows) and the others revisit it; a null URL leaves its header line out; control
-characters in a URL are percent-encoded; an empty table makes an empty archive; other columns are ignored.
+of identical rows) and the others revisit it; a null URL leaves its header line out; a URL
+with control characters is percent-encoded in its line and kept exactly in a line of its own; a null date is `DATE`; an empty table makes an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,19 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _pages(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
+def _clean(url: Column) -> Column:
+    """The URL with each control character percent-encoded, as a header line may not hold one."""
+    clean = url
+    for c in [*range(32), 127]:
+        clean = F.replace(clean, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(url.rlike("[\\x00-\\x1F\\x7F]"), clean).otherwise(url)
+
+
+def _pages(pages: DataFrame, key: str, url: str, payload: str, date: str | None) -> DataFrame:
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1F\\x7F]", "%00")
-    return pages.select(F.col(key).cast("long").alias("page_id"), clean.alias("url"), body.alias("payload")).withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
+    when = F.date_format(F.to_utc_timestamp(F.col(date).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date else F.lit(None)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.coalesce(when.cast("string"), F.lit(DATE)).alias("date"))
+    return rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -40,14 +52,14 @@ def _line(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
 
 
-def plan_records(pages: DataFrame, least: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
+def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """A row for each record: page_id, digest, header. `pages` as from _pages; payload bytes do not travel.
 
     Equal rows are counted before anything is joined, and only digests that occur twice take part in
     the join, one row each; a digest of very many pages is split by adaptive skew handling.
     """
-    meta = pages.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")).groupBy("page_id", "url", "digest", "size").agg(F.count("*").alias("copies"))
-    owner = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
+    meta = pages.select("page_id", "url", "date", "digest", F.octet_length("payload").cast("long").alias("size")).groupBy("page_id", "url", "date", "digest", "size").agg(F.count("*").alias("copies"))
+    owner = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "date"))
     shared = (
         meta.where(F.col("size") >= least).groupBy(F.col("digest").alias("of"))
         .agg(owner.alias("owner"), F.sum("copies").alias("n")).where("n > 1")
@@ -55,7 +67,7 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES, date: str = DATE) -
     rows = (
         meta.join(shared, F.col("digest") == F.col("of"), "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .withColumn("revisit", F.col("of").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("owner.page_id")) & F.col("url").eqNullSafe(F.col("owner.url")) & (F.col("copy") == 1)))
+        .withColumn("revisit", F.col("of").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("owner.page_id")) & F.col("url").eqNullSafe(F.col("owner.url")) & (F.col("date") == F.col("owner.date")) & (F.col("copy") == 1)))
     )
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     length = F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("size"))
@@ -63,13 +75,14 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES, date: str = DATE) -
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), _uuid(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy")), F.lit(">"))),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
+        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), _uuid(F.col("page_id"), F.col("url"), F.col("date"), F.col("digest"), F.col("copy")), F.lit(">"))),
+        _line("WARC-Date", F.col("date")),
+        _line("WARC-Target-URI", _clean(F.col("url"))),
+        _line("X-Target-URI-Base64", F.when(_clean(F.col("url")) != F.col("url"), F.base64(F.encode("url", "UTF-8")))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _line("WARC-Profile", only(F.lit(PROFILE))),
-        _line("WARC-Refers-To", only(F.concat(F.lit("<urn:uuid:"), _uuid(F.col("owner.page_id"), F.col("owner.url"), F.col("digest"), F.lit(1)), F.lit(">")))),
-        _line("WARC-Refers-To-Target-URI", only(F.col("owner.url"))),
+        _line("WARC-Refers-To", only(F.concat(F.lit("<urn:uuid:"), _uuid(F.col("owner.page_id"), F.col("owner.url"), F.col("owner.date"), F.col("digest"), F.lit(1)), F.lit(">")))),
+        _line("WARC-Refers-To-Target-URI", only(_clean(F.col("owner.url")))),
         _line("X-Page-Id", F.col("page_id").cast("string")),
         _line("X-Refers-To-Page-Id", only(F.col("owner.page_id").cast("string"))),
         _line("X-Payload-Length", F.col("size").cast("string")),
@@ -81,9 +94,9 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES, date: str = DATE) -
     return rows.select("digest", header.alias("header"))
 
 
-def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES) -> None:
-    """Write both tables below `path`. Payloads are folded by digest on the map side, so copies cross the network once a task."""
-    rows = _pages(pages, key, url, payload)
+def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES, date: str | None = None) -> None:
+    """Write both tables below `path`; `date` names a column of capture times. Payloads are folded by digest on the map side, so copies cross the network once a task."""
+    rows = _pages(pages, key, url, payload, date)
     plan_records(rows, least).write.option("compression", "zstd").parquet(f"{path}/headers")
     bodies = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
     bodies.select("digest", F.encode("payload", "UTF-8").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
@@ -94,13 +107,9 @@ def _field(name: str) -> Column:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The stored headers, parsed."""
+    """The stored headers, with the fields that joins need."""
     h = spark.read.schema("digest string, header string").parquet(f"{path}/headers")
-    return h.select(
-        "digest", "header", _field("X-Page-Id").cast("long").alias("page_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("record_type"),
-        F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), _field("X-Payload-Length").cast("long").alias("payload_bytes"),
-        _field("X-Refers-To-Page-Id").cast("long").alias("refers_to"),
-    )
+    return h.select("digest", "header", _field("X-Page-Id").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -109,28 +118,61 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.col("digest").alias("stored"), "payload", F.sha2("payload", 256).alias("actual"), F.octet_length("payload").cast("long").alias("size"))
 
 
-def check_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record, held against its stored payload; fails if a payload is missing or not what its digest says."""
-    verified = read_payloads(spark, path).select("stored", "actual", "size")
-    held = read_headers(spark, path).join(verified, F.col("digest") == F.col("stored"), "left")
-    good = (F.col("actual") == F.col("payload_digest")) & (F.col("size") == F.col("payload_bytes"))
-    sure = F.when(F.coalesce(good, F.lit(False)), F.col("actual")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("digest"))).cast("string"))
-    return held.select("page_id", F.col("size").alias("payload_bytes"), sure.alias("payload_digest"), "record_type", "refers_to", "url")
-
-
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the original record, byte for byte (a revisit has no payload of its own)."""
+    """page_id, record_type, the original record, byte for byte (a revisit has no payload of its own), and digest and length of the stored payload as read."""
     held = read_headers(spark, path).join(read_payloads(spark, path), F.col("digest") == F.col("stored"), "left")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
     end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return held.select("page_id", "record_type", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"))
+    return held.select("page_id", "record_type", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"), "actual", "size")
+
+
+def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """The fields of the record at a place, its payload (what follows the HTTP header), and where the record ends."""
+    cut = data.find(b"\r\n\r\n", at)
+    fields = dict(x.split(": ", 1) for x in data[at:cut].decode().split("\r\n")[1:])
+    if raw := fields.pop("X-Target-URI-Base64", None):
+        fields["WARC-Target-URI"] = base64.b64decode(raw).decode()
+    end = cut + 4 + int(fields["Content-Length"])
+    if data[end : end + 4] != b"\r\n\r\n":
+        raise ValueError(f"record does not end where its length says: {fields.get('WARC-Record-ID')}")
+    return fields, data[data.find(b"\r\n\r\n", cut + 4) + 4 : end], end + 4
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for record, actual, size in zip(*batch.columns, strict=True):
+            if not record.is_valid:
+                raise ValueError("a record has no stored payload")
+            fields, payload, _ = parsed(record.as_buffer().to_pybytes())
+            said, length = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
+            found = (hashlib.sha256(payload).hexdigest(), len(payload)) if fields["WARC-Type"] == "response" else (actual.as_py(), size.as_py())
+            if found != (said, length):
+                raise ValueError(f"payload does not match its digest: {said}")
+            refers = fields.get("X-Refers-To-Page-Id")
+            page = fields.get("X-Page-Id")
+            rows.append((page and int(page), found[1], found[0], fields["WARC-Type"], refers and int(refers), fields.get("WARC-Target-URI")))
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record, from the rebuilt record: its length must be right and its payload what the digest says, else this fails.
+
+    A response's payload is hashed as it stands in the record; a revisit's, once, where it is stored.
+    """
+    ship(spark)
+    rows = reconstruct(spark, path).select("record", "actual", "size")
+    return rows.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
-def export_files(spark: SparkSession, path: str, out: str, compression: str = "gzip") -> None:
+def export_files(spark: SparkSession, path: str, out: str, compression: str = "gzip", records_per_file: int = 20_000) -> None:
     """Standard WARC files from an archive, through Spark's own writer: the record separator is its line separator."""
     held = read_headers(spark, path).join(read_payloads(spark, path), F.col("digest") == F.col("stored"), "left")
     body = F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8")).otherwise("")
-    held.select(F.concat("header", body).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(out)
+    rows = held.select(F.concat("header", body).alias("value")).write.option("maxRecordsPerFile", records_per_file)
+    rows.option("lineSep", "\r\n\r\n").option("compression", compression).text(out)
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,13 +182,9 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for raw in frame["content"]:
             data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
             at, found = 0, []
-            while (cut := data.find(b"\r\n\r\n", at)) >= 0:
-                fields = dict(x.split(": ", 1) for x in data[at:cut].decode().split("\r\n")[1:])
-                body = cut + 4
-                end = body + int(fields["Content-Length"])
-                block = data[body:end]
-                found.append((fields.get("WARC-Record-ID"), fields.get("WARC-Type"), fields.get("WARC-Target-URI"), fields.get("WARC-Payload-Digest"), block.partition(b"\r\n\r\n")[2]))
-                at = end + 4
+            while at < len(data):
+                fields, payload, at = parsed(data, at)
+                found.append((fields.get("WARC-Record-ID"), fields.get("WARC-Type"), fields.get("WARC-Target-URI"), fields.get("WARC-Payload-Digest"), payload))
             yield pd.DataFrame(found, columns=["record_id", "record_type", "url", "payload_digest", "payload"])
 
 
@@ -160,7 +198,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return check_archive(spark, path)
+    return read_archive(spark, path)
 
 
 OP5_SQL = """

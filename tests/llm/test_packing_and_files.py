@@ -109,17 +109,18 @@ def test_ids_of_every_code_point():
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "x" * 200_000
     body = "<html>" + "b" * 120
-    rows = [(1, "http://a/1", body), (2, "http://a/2", body), (3, None, body), (4, "http://a/4\r\nX: y", "short"), (5, "http://a/5", "short"), (6, "http://a/6", None), (7, "http://a/7", long + "\r\n\r\né"), (2, "http://a/2", body), (None, "http://n", body)]
+    rows = [(1, "http://a/1", body), (2, "http://a/2", body), (3, None, body), (4, "http://a/4\r\nX: y", "short"), (5, "http://a/5", "short"), (6, "http://a/6", None), (7, "http://a/7", long + "\r\n\r\né"), (2, "http://a/2", body), (None, "http://n", body), (8, "a\x01", "s"), (9, "a\x02", "s"), (10, "a%01", "s"), (11, "", "s"), (12, None, "s")]
     df = spark.createDataFrame([(*r, "z", "q") for r in rows], "page_id long, url string, html string, digest string, payload string")
     warc.write_archive(df, str(tmp_path / "w"))
-    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.check_archive(spark, str(tmp_path / "w")).collect()), key=str)
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()), key=str)
     want = []
     for i, _, h in rows:
         b = (h or "").encode()
         again = len(b) >= 100 and i != 7 and i != 1
         want.append((i or 0, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", 1 if again else None))
     assert got == sorted(want, key=str)
-    assert warc.read_payloads(spark, str(tmp_path / "w")).count() == 4
+    assert warc.read_payloads(spark, str(tmp_path / "w")).count() == 5
+    assert {r["page_id"]: r["url"] for r in warc.read_archive(spark, str(tmp_path / "w")).collect() if (r["page_id"] or 0) > 7 or r["page_id"] == 4} == {4: "http://a/4\r\nX: y", 8: "a\x01", 9: "a\x02", 10: "a%01", 11: "", 12: None}
     records = {r["page_id"]: bytes(r["record"]) for r in warc.reconstruct(spark, str(tmp_path / "w")).collect()}
     head, _, rest = records[7].partition(b"\r\n\r\n")
     length = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
@@ -127,9 +128,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert b"\r\nX: y" not in records[4] and b"WARC-Target-URI" not in records[3] and b"WARC-Type: revisit" in records[3]
     warc.export_files(spark, str(tmp_path / "w"), str(tmp_path / "files"))
     back = warc.read_files(spark, str(tmp_path / "files") + "/*.gz").collect()
-    assert len(back) == 9 and (long + "\r\n\r\né").encode() in {bytes(r["payload"]) for r in back}
+    assert len(back) == 14 and (long + "\r\n\r\né").encode() in {bytes(r["payload"]) for r in back}
     warc.write_archive(df.where("false"), str(tmp_path / "none"))
-    assert warc.check_archive(spark, str(tmp_path / "none")).count() == 0
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dates(spark, tmp_path):
+    df = spark.sql("select 1L as page_id, 'u' as url, 'x' as html, timestamp'2024-02-03 04:05:06' as t union all select 2L, 'v', 'y', null")
+    warc.write_archive(df, str(tmp_path / "w"), date="t")
+    got = {r["page_id"]: warc.parsed(bytes(r["record"]))[0]["WARC-Date"] for r in warc.reconstruct(spark, str(tmp_path / "w")).collect()}
+    assert got == {1: "2024-02-03T04:05:06Z", 2: warc.DATE}
 
 
 def test_a_changed_payload_is_noticed(spark, tmp_path):
@@ -138,8 +146,8 @@ def test_a_changed_payload_is_noticed(spark, tmp_path):
     p = spark.read.parquet(str(tmp_path / "w/payloads")).selectExpr("digest", "encode('forged', 'UTF-8') as payload")
     p = spark.createDataFrame(p.collect(), p.schema)
     p.write.mode("overwrite").parquet(str(tmp_path / "w/payloads"))
-    with pytest.raises(Exception, match="does not match"):
-        warc.check_archive(spark, str(tmp_path / "w")).collect()
+    with pytest.raises(Exception, match="does not end"):
+        warc.read_archive(spark, str(tmp_path / "w")).collect()
 
 
 def test_media_round_trip(spark, odd, tmp_path):
