@@ -46,6 +46,9 @@ THRESHOLD, REMOVED = 0.9, 0.999
 #: Candidate terms that are broadcast at most (about 40 MB); beyond, all words are counted first and joined then.
 BROADCAST_TERMS = 500_000
 BLOCK = 64
+#: Characters of a text that are cut out of it at once; spans that each word is held against one by one at most (more are put in order).
+CUT, FEW = 4096, 8
+FAR = (1 << 31) - 1
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -54,14 +57,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _running(d: Column) -> Column:
-    """Sums of the first 1, 2, ... elements, in blocks, so that long arrays cost no quadratic time."""
-    add = lambda a, x: a + x
+def _larger(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
+def _running(d: Column, add: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """Sums (or the like, of integers from 0 on) of the first 1, 2, ... elements, in blocks, so that long arrays cost no quadratic time."""
     zero = F.lit(0)
     whole = lambda k: F.floor(k / BLOCK).cast("int")
-    blocks = lambda: F.transform(F.sequence(zero, whole(F.size(d))), lambda b: F.aggregate(F.slice(d, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+    blocks = lambda d: F.transform(F.sequence(zero, whole(F.size(d))), lambda b: F.aggregate(F.slice(d, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
     before = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), zero, add))
-    return let(let(blocks(), before), lambda base: F.transform(d, lambda _, k: F.get(base, whole(k)) + F.aggregate(F.slice(d, whole(k) * BLOCK + 1, k % BLOCK + 1), zero, add)))
+    sums = lambda d: let(let(blocks(d), before), lambda base: F.transform(d, lambda _, k: add(F.get(base, whole(k)), F.aggregate(F.slice(d, whole(k) * BLOCK + 1, k % BLOCK + 1), zero, add))))
+    return let(d, sums)
 
 
 def found(text: Column, pattern: str, kind: str) -> Column:
@@ -71,7 +78,7 @@ def found(text: Column, pattern: str, kind: str) -> Column:
     def spans(m: Column) -> Column:
         between = F.split(text, pattern, -1)
         steps = lambda p: F.transform(p, lambda x, j: F.length(x) + F.coalesce(F.length(F.get(m, j - 1)), F.lit(0)))
-        return let(let(let(between, steps), _running), lambda at: F.transform(m, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(x)).alias("end"), x.alias("value"))))
+        return let(let(let(between, steps), lambda d: _running(d)), lambda at: F.transform(m, lambda x, i: F.struct(F.lit(kind).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(x)).alias("end"), x.alias("value"))))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
 
@@ -111,13 +118,27 @@ def base_spans(text: Column) -> Column:
 
 
 def _apart(words: Column, spans: Column) -> Column:
-    """The words that no span touches."""
-    return F.filter(words, lambda w: ~F.exists(spans, lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"])))
+    """The words that no span touches. Words and many spans are put in one order, where the furthest end before a word and the nearest start behind it decide."""
+    few = F.filter(words, lambda w: ~F.exists(spans, lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"])))
+    event = lambda x, kind, i: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), i.alias("i"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, 0, F.lit(-1))), F.transform(words, lambda w, i: event(w, 1, i))))
+
+    def many(e: Column) -> Column:
+        ends = _running(F.transform(e, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(0)), _larger)
+        back = _running(F.reverse(F.transform(e, lambda x: F.when(x["kind"] == 0, FAR - x["start"]).otherwise(0))), _larger)  # starts, the nearest as the largest
+
+        def untouched(before: Column, behind: Column) -> Column:
+            good = F.filter(F.transform(e, lambda x, k: F.when((x["kind"] == 1) & (F.get(before, k) <= x["start"]) & (FAR - F.get(behind, k) >= x["end"]), x["i"])), lambda i: i.isNotNull())
+            return F.transform(good, lambda i: F.get(words, i))
+
+        return let(ends, lambda before: let(F.reverse(back), lambda behind: untouched(before, behind)))
+
+    return F.when(F.size(spans) <= FEW, few).otherwise(let(events, many))
 
 
 def _terms(text: Column, spans: Column) -> Column:
     """The distinct terms of a text outside its spans."""
-    return F.array_distinct(F.transform(_apart(found(text, TERM, "term"), spans), lambda w: F.lower(w["value"])))
+    return F.array_distinct(F.transform(let(found(text, TERM, "term"), lambda words: _apart(words, spans)), lambda w: F.lower(w["value"])))
 
 
 def _documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,21 +184,37 @@ def detect(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return held.select("doc_id", "tid", "base", apart.alias("added"))
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans (start, end, label) as spans apart: overlapping ones become one, with the first label."""
+    n = F.size(spans)
+
+    def by(ends: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+        last = lambda heads, j: F.get(ends, F.coalesce(F.get(heads, j + 1), n) - 1)
+        return let(heads, lambda hs: F.transform(hs, lambda h, j: F.struct(F.get(spans, h)["start"].alias("start"), last(hs, j).alias("end"), F.get(spans, h)["label"].alias("label"))))
+
+    return let(_running(F.transform(spans, lambda s: s["end"]), _larger), by)
+
+
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span (start, end, label), sorted by start, replaced by its label; overlapping spans count as one, with the first label."""
+    """The text with each span (start, end, label), sorted by start, replaced by its label; overlapping spans count as one, with the first label.
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] < last["end"], longer).otherwise(F.concat(acc, F.array(s)))
+    Pieces between spans are put together from blocks of the text, as a place in a long text is found only by walking to it.
+    """
 
-    merged = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,label:string>>"), merge)
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+        within = F.substr(F.get(blocks, first), a % CUT + 1, b - a)
+        ahead = F.substr(F.get(blocks, first), a % CUT + 1, F.lit(CUT))
+        tail = F.coalesce(F.substr(F.get(blocks, last), F.lit(1), b % CUT), F.lit(""))
+        return F.when(a >= b, "").when(first == last, within).otherwise(F.concat(ahead, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), tail))
 
-    def build(m: Column) -> Column:
-        piece = lambda s, i: let(F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), lambda a: F.concat(F.substr(text, a + 1, s["start"] - a), s["label"]))
-        return F.concat(F.array_join(F.transform(m, piece), ""), F.substr(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
+    def build(m: Column, blocks: Column) -> Column:
+        piece = lambda s, i: let(F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), lambda a: F.concat(cut(blocks, a, s["start"]), s["label"]))
+        return F.concat(F.array_join(F.transform(m, piece), ""), let(F.element_at(m, -1)["end"], lambda a: let(F.length(text), lambda b: cut(blocks, a, b))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, build))
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(_merged(spans), lambda m: let(whole, lambda blocks: build(m, blocks))))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

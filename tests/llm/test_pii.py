@@ -86,3 +86,50 @@ def test_odd_rows(spark, odd, none, tmp_path):
     assert pii.sanitise(none).count() == 0
     plan = pii.sanitise(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_spans_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        n = rng.choice([0, 3, 30, 300])
+        text = "".join(rng.choice("ab é🙂\n") for _ in range(n * 5 + rng.choice([0, 1, 9000])))
+        places = [sorted((rng.randrange(len(text) + 1), rng.randrange(len(text) + 1))) for _ in range(n)] if text else []
+        spans = sorted((a, min(b, a + 40), f"[{k}]") for k, (a, b) in enumerate(places) if a < b)
+        words, at = [], 0
+        while at < len(text):
+            words.append((at, min(len(text), at + rng.randrange(1, 9))))
+            at = words[-1][1] + rng.randrange(0, 30)
+        rows.append((i, text, spans, words))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,end:int,label:string>>, words array<struct<start:int,end:int>>")
+    got = {r["i"]: r for r in df.select("i", pii.sanitised(F.col("text"), F.col("spans")).alias("clean"), pii._apart(F.col("words"), F.col("spans")).alias("apart")).collect()}
+    for i, text, spans, words in rows:
+        merged = []
+        for a, b, label in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b, label])
+        out, at = "", 0
+        for a, b, label in merged:
+            out, at = out + text[at:a] + label, b
+        assert got[i]["clean"] == out + text[at:]
+        assert [tuple(w) for w in got[i]["apart"]] == [w for w in words if not any(w[0] < b and w[1] > a for a, b, _ in spans)]
+
+
+def test_very_many_spans_cost_no_quadratic_time(spark):
+    import time
+
+    from millrace.llm.common import Scratch
+
+    text = "".join(f"word{i} name{i}@mail.example and +49 30 {1000000 + i} " for i in range(50_000))  # 100,000 spans
+    long = "plain words of a text. " * 900_000  # 20 MB
+    docs = spark.createDataFrame([(1, text, len(text)), (2, long, len(long)), (3, "a@b.cc", 6)], "doc_id long, text string, n_chars long").repartition(3)
+    began = time.time()
+    rows = {r["doc_id"]: r for r in pii.detect(docs, Scratch(spark, "many")).select("doc_id", F.size("base").alias("n")).collect()}
+    assert (rows[1]["n"], rows[2]["n"], rows[3]["n"]) == (100_000, 0, 1)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "".join(f"word{i} [EMAIL] and [PHONE] " for i in range(50_000)) and clean[2] == long and clean[3] == "[EMAIL]"
+    assert time.time() - began < 240
