@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -55,6 +55,8 @@ LEAST_TEXTS = 8
 ALARM = 3
 #: Characters of a text that are coded at once.
 PIECE = 1 << 16
+#: Bits of a code by which it is looked up (a table of 16 MB in each worker).
+CODE_BITS = 24
 _ODD = np.random.default_rng(3).integers(1 << 40, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 _OTHER = re.compile(r"[\W_]+")
 
@@ -96,9 +98,15 @@ def pieces(text: str) -> Iterator[str]:
 def windows(piece: str, step: int = 1) -> list[bytes]:
     """The windows of a plain text of one or more words; fewer words than a window make one."""
     codes, at = wide(piece)
+    n = len(at) - 1
+    return _cut(codes, at, range(0, max(1, n - WINDOW + 1), step)) if n > 0 else []
+
+
+def _cut(codes: np.ndarray, at: np.ndarray, first: Iterable[int]) -> list[bytes]:
+    """The windows from some words on."""
     raw, n = codes.tobytes(), len(at) - 1
     at4 = (4 * at).tolist()
-    return [raw[at4[i] : max(at4[min(i + WINDOW, n)] - 8, at4[i] + 4)] for i in range(0, max(1, n - WINDOW + 1), step)] if n > 0 else []
+    return [raw[at4[i] : max(at4[min(i + WINDOW, n)] - 8, at4[i] + 4)] for i in first]
 
 
 def _some(held: list[str], most: int, step: int = 1) -> list[bytes]:
@@ -136,19 +144,36 @@ def _saved(found: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
     return np.fromiter((len(a(w)) - len(b(w)) for w in found), np.int64, len(found))
 
 
+def _own(toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Whether a code, by its last bits, stands in the toxic dictionary and not in the ordinary ones."""
+    codes = [np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 4).copy().view("<u4").ravel()) for raw in (toxic, ordinary)]
+    table = np.zeros(1 << CODE_BITS, bool)
+    table[np.setdiff1d(*codes) & np.uint32((1 << CODE_BITS) - 1)] = True
+    return table
+
+
 class Distance:
-    """How much better the toxic dictionary explains a text."""
+    """How much better the toxic dictionary explains a text.
+
+    A match costs zstandard about three bytes and a code is four: windows without two codes in a row that the toxic dictionary alone
+    has can save no more than `SLACK`, or little more, and are not compressed (they count as windows that save nothing).
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.ordinary, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
+        self.own = _own(toxic, ordinary)
 
     def text(self, text: str) -> float:
         total = n = 0
         a, b = self.ordinary, self.both
         for piece in pieces(text):
-            found = windows(piece)
-            n += len(found)
-            for w in found:
+            codes, at = wide(piece)
+            many = max(1, len(at) - WINDOW)
+            n += many
+            own = self.own[codes & np.uint32((1 << CODE_BITS) - 1)]
+            word = np.unique(np.searchsorted(at, np.flatnonzero(own[:-1] & own[1:]), side="right") - 1)
+            first = np.unique((word[:, None] - np.arange(WINDOW)).clip(0, many - 1))
+            for w in _cut(codes, at, first.tolist()) if len(at) > 1 else ():
                 saved = len(a(w)) - len(b(w)) - SLACK
                 if saved > 0:
                     total += min(saved, MOST_SAVED)
