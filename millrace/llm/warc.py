@@ -1,6 +1,6 @@
 """WARC archives, content-addressed.
 
-An archive is two tables in one folder: `payloads` holds each distinct payload once under its
+An archive is two tables in one folder: `payloads` holds each distinct payload once, deflated, under its
 SHA-256, `headers` the exact header bytes of every record. A record is header + payload + CRLF CRLF,
 rebuilt by a join on the digest. Reading parses the rebuilt records and verifies their lengths and payloads.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,9 +98,18 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES, date: str | None = None) -> None:
     """Write both tables below `path`; `date` names a column of capture times. Payloads are folded by digest on the map side, so copies cross the network once a task."""
     rows = _pages(pages, key, url, payload, date)
+    ship(pages.sparkSession)
     plan_records(rows, least).write.option("compression", "zstd").parquet(f"{path}/headers")
-    bodies = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    bodies.select("digest", F.encode("payload", "UTF-8").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    bodies = rows.select("digest", F.encode("payload", "UTF-8").alias("payload")).mapInArrow(_deflate, "digest string, deflated binary")
+    bodies.groupBy("digest").agg(F.first("deflated").alias("deflated")).write.parquet(f"{path}/payloads")
+
+
+def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of a batch once each, deflated, so that what crosses the network is small."""
+    for batch in batches:
+        once = dict(zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        held = [zlib.compress(x.as_buffer(), 1) for x in once.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.string()), pa.array(held, pa.binary())], names=["digest", "deflated"])
 
 
 def _field(name: str) -> Column:
@@ -112,18 +122,42 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return h.select("digest", "header", _field("X-Page-Id").cast("long").alias("page_id"), _field("WARC-Type").alias("record_type"))
 
 
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [zlib.decompress(x.as_buffer()) for x in batch.column(1)]
+        columns = [batch.column(0), pa.array(held, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in held], pa.string()), pa.array([len(x) for x in held], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["stored", "payload", "actual", "size"])
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """The stored payloads: digest, payload, and the digest of the bytes as read."""
-    p = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    return p.select(F.col("digest").alias("stored"), "payload", F.sha2("payload", 256).alias("actual"), F.octet_length("payload").cast("long").alias("size"))
+    """The stored payloads: digest, payload, and digest and length of the bytes as read."""
+    ship(spark)
+    return spark.read.schema("digest string, deflated binary").parquet(f"{path}/payloads").mapInArrow(_payloads, "stored string, payload binary, actual string, size long")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one digest stand together (or nearly so): each payload is inflated and hashed once for a run of them."""
+    last = payload = found = None
+    for batch in batches:
+        out: list[tuple] = []
+        for page, kind, header, digest, held in zip(*batch.columns, strict=True):
+            if not held.is_valid:
+                raise ValueError(f"a record has no stored payload: {digest.as_py()}")
+            if digest != last:
+                payload = zlib.decompress(held.as_buffer())
+                last, found = digest, (hashlib.sha256(payload).hexdigest(), len(payload))
+            body = payload if kind.as_py() == "response" else b""
+            out.append((page.as_py(), kind.as_py(), header.as_py().encode() + body + b"\r\n\r\n", *found))
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["page_id", "record_type", "record", "actual", "size"])
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, the original record, byte for byte (a revisit has no payload of its own), and digest and length of the stored payload as read."""
-    held = read_headers(spark, path).join(read_payloads(spark, path), F.col("digest") == F.col("stored"), "left")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return held.select("page_id", "record_type", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"), "actual", "size")
+    ship(spark)
+    stored = spark.read.schema("digest string, deflated binary").parquet(f"{path}/payloads").withColumnRenamed("digest", "stored")
+    held = read_headers(spark, path).join(stored, F.col("digest") == F.col("stored"), "left").select("page_id", "record_type", "header", "digest", "deflated")
+    return held.mapInArrow(_records, "page_id long, record_type string, record binary, actual string, size long")
 
 
 def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -142,8 +176,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for record, actual, size in zip(*batch.columns, strict=True):
-            if not record.is_valid:
-                raise ValueError("a record has no stored payload")
             fields, payload, _ = parsed(record.as_buffer().to_pybytes())
             said, length = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Payload-Length"])
             found = (hashlib.sha256(payload).hexdigest(), len(payload)) if fields["WARC-Type"] == "response" else (actual.as_py(), size.as_py())
