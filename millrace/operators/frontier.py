@@ -32,9 +32,10 @@ def next_level(frontier: DataFrame) -> DataFrame:
     return frontier.where("status = 'queued'").orderBy(F.desc("depth"), "id")
 
 
-def mark(frontier: DataFrame, updates: DataFrame) -> DataFrame:
-    """The frontier with updates (url, status, skip_reason) applied; a null skip_reason changes nothing."""
-    new = updates.select("url", F.col("status").alias("_status"), F.col("skip_reason").alias("_skip"))
+def mark(frontier: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
+    """The frontier with updates (url, status, skip_reason) applied in order of `seq`: the last status and the last skip_reason that is not null count."""
+    reason = F.max_by("skip_reason", F.when(F.col("skip_reason").isNotNull(), F.col(seq)))
+    new = updates.groupBy("url").agg(F.max_by("status", seq).alias("_status"), reason.alias("_skip"))
     held = frontier.join(new, "url", "left")
     return held.withColumn("status", F.coalesce("_status", "status")).withColumn("skip_reason", F.coalesce("_skip", "skip_reason")).drop("_status", "_skip").select(*frontier.columns)
 

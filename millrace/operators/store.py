@@ -20,9 +20,11 @@ def upsert(table: DataFrame, rows: DataFrame, seq: str, key: str = "url", keep:
     return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns))
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str = "url") -> DataFrame:
-    """Rows whose key is not in the table (K2)."""
-    return rows.join(table.select(key), key, "left_anti")
+def insert_absent(table: DataFrame, rows: DataFrame, seq: str, key: str = "url") -> DataFrame:
+    """Rows whose key is not in the table; of several rows of a key the first by `seq` (K2). Null keys count as one key that is never there."""
+    names = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*names), seq).alias("_row"))
+    return first.join(table.select(key), key, "left_anti").select(*(F.col(key) if c == key else F.col(f"_row.{c}") for c in rows.columns))
 
 
 def log_status(status: Column, blocked: Column) -> Column:
@@ -30,9 +32,10 @@ def log_status(status: Column, blocked: Column) -> Column:
     return F.when(F.coalesce(blocked, F.lit(False)), "blocked").otherwise(F.coalesce(status.cast("string"), F.lit("skipped")))
 
 
-def set_recrawl(articles: DataFrame, times: DataFrame) -> DataFrame:
-    """Articles with next_recrawl_at from (url, next_at)."""
-    held = articles.join(times.select("url", F.col("next_at").alias("_at")), "url", "left")
+def set_recrawl(articles: DataFrame, times: DataFrame, seq: str = "seq") -> DataFrame:
+    """Articles with next_recrawl_at from (url, next_at); of several times of a URL the last by `seq`."""
+    last = times.groupBy("url").agg(F.max_by("next_at", seq).alias("_at"))
+    held = articles.join(last, "url", "left")
     return held.withColumn("next_recrawl_at", F.coalesce("_at", "next_recrawl_at")).select(*articles.columns)
 
 

@@ -364,22 +364,24 @@ _L = f"l AS ({LOG_SQL})"
 
 
 @query("k1_upsert", f"""
-WITH {_A}, t AS (SELECT * FROM a WHERE id % 2 = 0), r AS (SELECT url, concat(title, ' new') AS title, 1.0::DOUBLE AS quality_score FROM a WHERE id % 3 = 0)
+WITH {_A}, t AS (SELECT * FROM a WHERE id % 2 = 0), r AS (SELECT url, concat(title, ' new') AS title, 1.0::DOUBLE AS quality_score FROM a)
 SELECT coalesce(t.url, r.url) AS url, coalesce(r.title, t.title) AS title, CASE WHEN r.url IS NOT NULL THEN r.quality_score ELSE t.quality_score END AS quality_score, t.id IS NULL AS inserted FROM t FULL JOIN r ON t.url = r.url
 """)
 def _(spark, sf):
     a = standins.articles(spark, sf)
     table = a.where("id % 2 = 0").select("id", "url", "title", "quality_score")
-    rows = a.where("id % 3 = 0").select("url", F.concat("title", F.lit(" new")).alias("title"), F.lit(1.0).alias("quality_score"), F.col("id").alias("seq"))
+    rows = a.select("url", F.concat("title", F.lit(" new")).alias("title"), F.lit(1.0).alias("quality_score"), F.col("id").alias("seq"))
     old = table.select(F.col("url").alias("_u"))
     out = store.upsert(table, rows, "seq")
     return out.join(old, F.col("url") == F.col("_u"), "left").select("url", "title", "quality_score", F.col("_u").isNull().alias("inserted"))
 
 
-@query("k2_insert_absent", f"WITH {_A} SELECT id, url FROM a WHERE id % 3 = 0 AND url NOT IN (SELECT url FROM a WHERE id % 2 = 0)")
+@query("k2_insert_absent", f"WITH {_A} SELECT min(id) AS id, url, 'first' AS offer FROM a WHERE url NOT IN (SELECT url FROM a WHERE id % 2 = 0) GROUP BY url")
 def _(spark, sf):
     a = standins.articles(spark, sf).select("id", "url")
-    return store.insert_absent(a.where("id % 2 = 0"), a.where("id % 3 = 0")).select("id", "url")
+    offers = F.explode(F.array(F.struct(F.lit("second").alias("offer"), (F.col("id") * 2 + 1).alias("seq")), F.struct(F.lit("first").alias("offer"), (F.col("id") * 2).alias("seq"))))
+    rows = a.select("id", "url", offers.alias("o")).select("id", "url", "o.offer", "o.seq")
+    return store.insert_absent(a.where("id % 2 = 0"), rows, "seq").select("id", "url", "offer")
 
 
 @query("k3_log_status", f"WITH {_L} SELECT id, CASE WHEN blocked THEN 'blocked' ELSE coalesce(CASE WHEN id % 4 <> 0 THEN '200' END, 'skipped') END AS status FROM l")
@@ -387,19 +389,22 @@ def _(spark, sf):
     return standins.log(spark, sf).select("id", store.log_status(F.when(F.col("id") % 4 != 0, 200), F.col("blocked")).alias("status"))
 
 
-@query("k4_mark_frontier", f"WITH {_A} SELECT id, url, CASE WHEN id % 5 = 0 THEN 'skipped' ELSE 'queued' END AS status, CASE WHEN id % 10 = 0 THEN 'late' ELSE 'early' END AS skip_reason FROM a")
+@query("k4_mark_frontier", f"WITH {_A} SELECT id, url, CASE WHEN id % 5 = 0 THEN 'done' ELSE 'queued' END AS status, CASE WHEN id % 10 = 0 THEN 'late' ELSE 'early' END AS skip_reason FROM a")
 def _(spark, sf):
     a = standins.articles(spark, sf)
     table = a.select("id", "url", F.lit("queued").alias("status"), F.lit("early").alias("skip_reason"))
-    new = a.where("id % 5 = 0").select("url", F.lit("skipped").alias("status"), F.when(F.col("id") % 10 == 0, "late").alias("skip_reason"))
-    return frontier.mark(table, new)
+    step = lambda seq, status, reason: F.struct(F.lit(seq).alias("seq"), F.lit(status).alias("status"), reason.cast("string").alias("skip_reason"))
+    late = F.when(F.col("id") % 10 == 0, "late")
+    steps = F.explode(F.array(step(3, "done", F.lit(None)), step(1, "in_progress", F.lit(None)), step(2, "skipped", late)))
+    return frontier.mark(table, a.where("id % 5 = 0").select("url", steps.alias("s")).select("url", "s.*"))
 
 
 @query("k5_r11_set_recrawl", f"WITH {_A} SELECT id, strftime(CASE WHEN id % 4 = 0 THEN TIMESTAMP '{AS_OF}' ELSE next_recrawl_at END, '%Y-%m-%d %H:%M:%S') AS next_at FROM a")
 def _(spark, sf):
     a = standins.articles(spark, sf)
-    out = store.set_recrawl(a, a.where("id % 4 = 0").select("url", as_of().alias("next_at")))
-    return out.select("id", F.date_format("next_recrawl_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+    step = lambda seq, days: F.struct(F.lit(seq).alias("seq"), (as_of() + F.make_interval(days=F.lit(days))).alias("next_at"))
+    times = a.where("id % 4 = 0").select("url", F.explode(F.array(step(2, 0), step(1, 9))).alias("s")).select("url", "s.*")
+    return store.set_recrawl(a, times).select("id", F.date_format("next_recrawl_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
 
 
 @query("p1_p2_o1_o2_search", f"WITH {_A} SELECT id, url, quality_score FROM a WHERE (title ILIKE '%urgent%' OR main_content ILIKE '%urgent%' OR url ILIKE '%urgent%') AND page_type = 'wiki' AND quality_score >= 0.25 ORDER BY quality_score DESC NULLS LAST, id LIMIT 50 OFFSET 10")

@@ -122,3 +122,17 @@ def test_event_stream(spark, tmp_path):
     q = stream.first_sights(stream.read_log(spark, str(tmp_path / "log"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp2")).option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_repeated_urls_in_writes(spark):
+    from millrace.operators import frontier, store
+
+    table = spark.createDataFrame([("a",)], "url string")
+    rows = spark.createDataFrame([("b", 2, 20), ("b", 1, 10), ("a", 3, 30), ("c", 4, 40), (None, 6, 60), (None, 5, 50)], "url string, seq int, x int")
+    assert sorted(map(tuple, store.insert_absent(table, rows, "seq").collect()), key=str) == [("b", 1, 10), ("c", 4, 40), (None, 5, 50)]
+    held = spark.createDataFrame([("a", "queued", None), ("b", "queued", "old")], "url string, status string, skip_reason string")
+    updates = spark.createDataFrame([("a", "done", None, 3), ("a", "skipped", "late", 2), ("a", "in_progress", "first", 1)], "url string, status string, skip_reason string, seq int")
+    assert sorted(map(tuple, frontier.mark(held, updates).collect())) == [("a", "done", "late"), ("b", "queued", "old")]
+    articles = spark.createDataFrame([("a", "x"), ("b", "y")], "url string, next_recrawl_at string")
+    times = spark.createDataFrame([("a", "new", 2), ("a", "old", 1)], "url string, next_at string, seq int")
+    assert sorted(map(tuple, store.set_recrawl(articles, times).collect())) == [("a", "new"), ("b", "y")]
