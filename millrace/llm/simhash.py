@@ -50,13 +50,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         column = batch.column(1)
         found = [fingerprint(column[i].as_buffer().to_pybytes()) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "tid"])
+
+
+def _tid(text: str = "text") -> Column:
+    """A hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+    """doc_id, fp (the 64 bits as a long), tid (a hash of the text, which tells apart rows of one doc_id)."""
     ship(docs.sparkSession)
-    return texts(docs, key, text).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return texts(docs, key, text).withColumn("tid", _tid()).mapInArrow(_fingerprints, "doc_id long, fp long, tid long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -85,8 +90,8 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.union(balls.select(F.explode("all").alias("u"), "v").where("u != v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
+def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, tid, fp, component_id, a row for each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.table(fingerprints(docs, key, text), "fingerprints")
     distinct = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
@@ -94,19 +99,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(of, F.col("fp") == F.col("of"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(of, F.col("fp") == F.col("of"), "left").select("doc_id", "tid", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable over links."""
+    return _members(docs, key, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that have a smaller doc_id in their component; of equal (doc_id, text) one stays.
 
-    Rows without a doc_id all stay, as nothing says which of them is first.
+    Rows of one doc_id with different texts are judged each by its own component. Rows without a doc_id all stay, but one of
+    equal texts, as nothing says which of them is first.
     """
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    kept = scratch.table(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.where(docs["doc_id"].isNotNull())
-    # one shuffle of the texts, by doc_id, serves the join and the fold of equal rows, whatever the size of `kept`
-    first = named.join(kept.hint("merge"), named["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = _members(docs, "doc_id", "text").where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("tid").alias("_kept_tid")).distinct()
+    kept = scratch.table(kept, "kept")
+    named = docs.where(docs["doc_id"].isNotNull()).withColumn("_of_tid", _tid())
+    # one shuffle of the texts, by doc_id and hash of the text, serves the join and the fold of equal rows, whatever the size of `kept`
+    on = (F.col("doc_id").cast("long") == F.col("_kept_id")) & (F.col("_of_tid") == F.col("_kept_tid"))
+    first = named.join(kept.hint("merge"), on, "left_semi").dropDuplicates(["doc_id", "_of_tid"]).drop("_of_tid")
     return first.union(docs.where(docs["doc_id"].isNull()).dropDuplicates(["doc_id", "text"]))
 
 

@@ -112,3 +112,11 @@ def test_containment_odd_rows(spark, odd, none):
     left = decontaminate.drop_contaminated(odd, items)
     assert left.columns == odd.columns and left.count() == 11
     assert decontaminate.contained(none, items).count() == 0 and decontaminate.contained(odd, items.where("false")).count() == 0
+
+
+def test_kept_rows_of_repeated_ids(spark):
+    t, u = "the same words stand here in both rows of the table " * 3, "wholly other words fill this row and nothing like them was seen " * 3
+    df = spark.createDataFrame([(3, t), (7, t), (7, u), (7, u), (8, u), (None, t), (None, t)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted([(3, t), (7, u), (None, t)], key=str)
+    plan = simhash.keep_one(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(cast(doc_id") + plan.count("hashpartitioning(doc_id") <= 4, plan
