@@ -84,15 +84,16 @@ def wide(text: str) -> tuple[np.ndarray, np.ndarray]:
 def pieces(text: str) -> Iterator[str]:
     """The plain text, in pieces that share WINDOW - 1 words, so that each window stands in one piece."""
     lead: list[str] = []
-    held = ""
+    held, some = "", False
     for a in range(0, len(text), PIECE):
         *whole, held = _OTHER.sub(" ", held + text[a : a + PIECE].lower()).split(" ")
-        words = [w for w in whole if w]
-        if words:
-            yield " " + " ".join(lead + words) + " "
-            lead = (lead + words)[1 - WINDOW :]
-    if held:
-        yield " " + " ".join([*lead, held]) + " "
+        lead += [w for w in whole if w]
+        if len(lead) >= WINDOW:
+            yield " " + " ".join(lead) + " "
+            lead, some = lead[1 - WINDOW :], True
+    lead += [held] if held else []
+    if len(lead) >= WINDOW or (lead and not some):
+        yield " " + " ".join(lead) + " "
 
 
 def windows(piece: str, step: int = 1) -> list[bytes]:
