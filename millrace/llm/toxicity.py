@@ -123,12 +123,11 @@ def _some(held: list[str], most: int, step: int = 1) -> list[bytes]:
 
 
 def _trained(found: list[bytes], size: int) -> bytes:
-    """A dictionary trained on windows; of few windows a smaller one."""
+    """A dictionary trained on windows in mixed order (zstandard gives up on runs that bring nothing new); of few windows a smaller one."""
     rng = np.random.default_rng(7)
     total = sum(map(len, found))
-    if total > TRAINED_ON:
-        found = [found[i] for i in rng.permutation(len(found))[: int(len(found) * TRAINED_ON / total)]]
-        total = TRAINED_ON
+    found = [found[i] for i in rng.permutation(len(found))[: int(len(found) * min(1, TRAINED_ON / max(1, total))) + 1]]
+    total = min(total, TRAINED_ON)
     return zstandard.train_dictionary(max(1024, min(size, total // 3)), found, k=32, d=8).as_bytes()
 
 
@@ -222,8 +221,9 @@ def fit(held: list[str], labels: np.ndarray) -> Model | None:
             extra = _trained(hard, HARD_BYTES) if len(hard) >= 50 else b""
             chosen = []
             for h in (0, 1):
-                least = max(TELLING, float(np.quantile(saved[1 - h], 0.999)))
+                least = max(TELLING, float(np.quantile(_saved(null, extra + common, tried[1 - h]), 0.999)))
                 better = _saved(halves[h], extra + common, tried[1 - h])
+                least = min(least, float(np.quantile(better, 0.999)) - 1)  # the best thousandth is always looked at again
                 chosen.append([w for w, s in zip(halves[h], better.tolist(), strict=True) if s > least])
         dictionary = _trained(chosen[0] + chosen[1], TOXIC_BYTES)
     except zstandard.ZstdError:  # too little to train a dictionary on
