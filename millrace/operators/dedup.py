@@ -16,7 +16,8 @@ from millrace.operators.tables import Work
 from millrace.settings import DEFAULT, Settings
 
 REASONS = ("same_canonical_url", "same_normalized_url", "same_content_hash", "near_duplicate_text")
-MOST_ROUNDS = 200
+#: Rounds after which the decisions so far are written as one table, so that plans stay short.
+ROUNDS_A_TABLE = 32
 #: Classes of a MinHash bucket that are compared in one place.
 BUCKET = 256
 
@@ -84,12 +85,13 @@ def first_kept(keys: DataFrame, classes: DataFrame, links: DataFrame, work: Work
     Rows match if they share a key (id, key), or if their classes (id, c) are linked (c, d; both ways round). In
     each round the undecided rows that no undecided earlier row matches are kept, and the rows they match go.
     Keys and classes stand for all pairs of their rows: only the first row of each is ever looked at.
+    Every round decides its smallest row at least, so a chain of matches of any length ends.
     """
     decided: DataFrame | None = None
     live = work.table(keys.select("id").distinct(), "live")
-    for _ in range(MOST_ROUNDS):
-        if live.isEmpty():
-            return decided if decided is not None else live.select("id", F.lit(True).alias("kept"))
+    rounds = 0
+    while not live.isEmpty():
+        rounds += 1
         k, c = keys.join(live, "id", "left_semi"), classes.join(live, "id", "left_semi")
         head = k.groupBy("key").agg(F.min("id").alias("head"))
         late = k.join(head, "key").where("id > head").select("id")
@@ -102,19 +104,23 @@ def first_kept(keys: DataFrame, classes: DataFrame, links: DataFrame, work: Work
         gone = work.table(gone, "gone")
         both = kept.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False).alias("kept")))
         decided = both if decided is None else decided.union(both)
+        if rounds % ROUNDS_A_TABLE == 0:
+            decided = work.table(decided, "decided")
         live = work.table(live.join(both, "id", "left_anti"), "live")
-    raise RuntimeError("duplicates did not settle")
+    return decided if decided is not None else live.select("id", F.lit(True).alias("kept"))
 
 
-def resolve(pages: DataFrame, work: Work, settings: Settings = DEFAULT) -> DataFrame:
+def resolve(pages: DataFrame, work: Work, settings: Settings = DEFAULT, similar: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(seq, is_duplicate, duplicate_of, duplicate_reason) of pages (seq, url, canonical_url, title, main_content), by arrival number.
 
+    `similar`: members and links of the pages' texts, if `similar_sets` has found them already.
+
     The reason is that of the first layer that a kept earlier page matches on; duplicate_of is the smallest such arrival number.
     Titles are compared once for each pair of different titles of linked texts, not for each pair of pages.
     """
     canon = urls.normalize(F.coalesce(F.nullif("canonical_url", F.lit("")), F.col("url")))
     rows = work.table(pages.select("seq", F.coalesce("title", F.lit("")).alias("title"), "main_content", canon.alias("canon"), urls.normalize(F.col("url")).alias("norm"), text.content_hash(F.col("main_content")).alias("hash")), "pages")
-    members, links = similar_sets(rows.where(F.length("main_content") > 0), "seq", "main_content", work, settings)
+    members, links = similar or similar_sets(rows.where(F.length("main_content") > 0), "seq", "main_content", work, settings)
     kinds = members.join(rows.select(F.col("seq").alias("id"), "title"), "id").where("title != ''")
     classed = work.table(kinds.join(kinds.groupBy("set", "title").agg(F.min("id").alias("c")), ["set", "title"]).select("id", "set", "title", "c"), "classes")
     class_ = classed.select("c", "set", "title").distinct()
@@ -137,9 +143,14 @@ def resolve(pages: DataFrame, work: Work, settings: Settings = DEFAULT) -> DataF
 
 
 def max_similarity(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, max_similarity): the highest Jaccard similarity to an earlier row, 0 under the limit (from similar_sets)."""
+    """(id, max_similarity): the highest Jaccard similarity to an earlier row, 0 under the limit (from similar_sets).
+
+    Only the rows of `members` count, which may be some of those that similar_sets gave: each set is stood for by its first one.
+    """
+    first = members.groupBy("set").agg(F.min("id").alias("first"))
     score = F.col("shared") / F.col("either")
     near = links.select(F.col("i").alias("set"), F.col("j").alias("other"), score.alias("s")).union(links.select("j", "i", score))
-    found = members.join(near, "set").where("other < id").groupBy("id").agg(F.max("s").alias("s"))
-    own = F.when(F.col("set") < F.col("id"), 1.0)
-    return members.join(found, "id", "left").select("id", F.coalesce(own, "s", F.lit(0.0)).alias("max_similarity"))
+    met = near.join(first.select(F.col("set").alias("other"), "first"), "other").select("set", "first", "s")
+    found = members.join(met, "set").where("first < id").groupBy("id").agg(F.max("s").alias("s"))
+    own = F.when(F.col("first") < F.col("id"), 1.0)
+    return members.join(first, "set").join(found, "id", "left").select("id", F.coalesce(own, "s", F.lit(0.0)).alias("max_similarity"))

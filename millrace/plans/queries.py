@@ -593,7 +593,7 @@ def _(spark, sf):
 @query("crawl_rounds")
 def _(spark, sf):
     p = read(spark, sf, "pages")
-    return crawl.crawl(spark, p.select(F.col("page_id").alias("seq"), "url"), p, Work(spark, "crawl"), 1)
+    return crawl.crawl(spark, p.select(F.col("page_id").alias("seq"), "url"), p.select("url", "html"), Work(spark, "crawl"), 1, as_of=as_of())[0]
 
 
 def curated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -96,11 +96,27 @@ def test_curation_trace(spark):
     assert sorted(r["seq"] for r in articles.collect()) == [1, 8]
 
 
-def test_crawl_rounds_and_jobs(spark):
-    pages_ = spark.createDataFrame([("https://e.com/a", "<a href='/b'>b</a> text"), ("https://e.com/b", "<a href='/c'>c</a> text")], "url string, html string")
-    seeds = spark.createDataFrame([(0, "https://e.com/a")], "seq long, url string")
-    got = {r["url"]: r["depth"] for r in crawl.crawl(spark, seeds, pages_, Work(spark, "t"), 2).collect()}
-    assert got == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
+def test_crawl_rounds(spark):
+    base = "https://e.com/news/"
+    page = lambda t, *to: BODY.format(t=t, b=" ".join(f"{t}{i}" for i in range(300))) + "".join(f"<a href='{base}{x}'>{x}</a>" for x in to)
+    held = {"a": page("a", "b", "cf", "gone", "a"), "b": page("b", "copy", "c"), "cf": "Just a moment", "copy": page("a", "z"), "c": page("c", "d"), "d": page("d")}
+    pages_ = spark.createDataFrame([(base + k, v) for k, v in held.items()] + [("https://e.com/category/x", page("x", "never"))], "url string, html string")
+    seeds = spark.createDataFrame([(0, base + "a"), (1, "https://e.com/category/x"), (2, base + "a")], "seq long, url string")
+    known, articles = crawl.crawl(spark, seeds, pages_, Work(spark, "t"), 2)
+    got = {r["url"].rsplit("/", 1)[1]: (r["depth"], r["status"], r["skip_reason"]) for r in known.collect()}
+    reason = got.pop("x")
+    assert reason[:2] == (0, "skipped") and reason[2]
+    # links of the copy and of pages that are not content are not taken, those at the last depth neither
+    assert got == {"a": (0, "done", None), "b": (1, "done", None), "cf": (1, "blocked", None), "gone": (1, "in_progress", None), "copy": (2, "in_progress", None), "c": (2, "done", None)}
+    assert sorted(r["url"].rsplit("/", 1)[1] for r in articles.collect()) == ["a", "b", "c"]
+    tight = crawl.crawl(spark, seeds, pages_, Work(spark, "t"), 2, Settings(domain_budget=1))[0]
+    got = {r["url"].rsplit("/", 1)[1]: r["skip_reason"] for r in tight.collect()}
+    assert got["b"] == got["cf"] == got["gone"] == "domain_budget_exceeded" and "c" not in got
+    nothing = crawl.crawl(spark, seeds.limit(0), pages_.limit(0), Work(spark, "t"), 2)
+    assert nothing[0].count() == nothing[1].count() == 0
+
+
+def test_jobs():
     job = crawl.Job(["x"])
     with pytest.raises(RuntimeError):
         job.run(lambda j: (_ for _ in ()).throw(RuntimeError("no")))
