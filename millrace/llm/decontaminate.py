@@ -11,7 +11,8 @@ on; the filter is the one thing that is broadcast, and its size is bounded (`mos
 lets more through, and results stay the same. Everything else is joins on shingle, item or document.
 
 Defined cases: null texts are empty; an item without words never matches; an item of fewer than five words is one
-shingle of all its words; repeated shingles count once; rows with the same doc_id count as one document,
+shingle of all its words; repeated shingles count once; long documents are read in pieces (`PART`) that share
+four words, so that memory does not grow with them but with the longest words; rows with the same doc_id count as one document,
 rows with the same item_id as one item each per text; other columns are ignored; the comparison at the threshold is exact (integers).
 """
 
@@ -25,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, chunks, ship, texts
-from millrace.llm.wordgrams import Words, plain
+from millrace.llm.wordgrams import Words, pieces, plain
 
 WORDS = 5
 #: Containment of 4/5, as integers.
 THRESHOLD = (4, 5)
 #: Bits of the Bloom filter: 16 for each item shingle, within these.
 LEAST_BITS, MOST_BITS = 24, 28
+#: Bytes of a document that are looked at together.
+PART = 1 << 20
 
 
 def _spare(n: int) -> int:
@@ -69,6 +72,20 @@ def _bits(items: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table.view(np.uint8), log
 
 
+def _passing(ids: list, held: list[bytes], sizes: list[int], bits: np.ndarray, log: int) -> tuple[list, list[str]]:
+    """Keys and shingles that pass the filter."""
+    w = Words(held)
+    keys, shingles = [], []
+    for size in sizes:
+        at, h = w.grams(size)
+        place = h >> np.uint64(64 - log)
+        found = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+        for i in at[np.flatnonzero(found)].tolist():
+            keys.append(ids[w.of[i]])
+            shingles.append(w.text(i, size))
+    return keys, shingles
+
+
 def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment, for each item contained in a document to the threshold."""
     spark = docs.sparkSession
@@ -83,16 +100,13 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
         for ids, held in chunks(batches):
-            w = Words([plain(x) for x in held])
-            keys, shingles = [], []
-            for size in sizes:
-                at, h = w.grams(size)
-                place = h >> np.uint64(64 - log)
-                found = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                for i in at[np.flatnonzero(found)].tolist():
-                    keys.append(ids[w.of[i]])
-                    shingles.append(w.text(i, size))
+            ready = [plain(x) for x in held]
+            keys, shingles = _passing(ids, [x if len(x) <= PART else b"" for x in ready], sizes, bits, log)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shingles, pa.string())], names=["doc_id", "shingle"])
+            for key, raw in zip(ids, ready, strict=True):
+                for piece in pieces(raw, WORDS - 1, PART) if len(raw) > PART else ():
+                    keys, shingles = _passing([key], [piece], sizes, bits, log)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shingles, pa.string())], names=["doc_id", "shingle"])
 
     seen = scratch.table(texts(docs, key, text).mapInArrow(hits, "doc_id long, shingle string").distinct(), "hits")
     candidates = seen.join(index.where("sketched").select("item_id", "item", "shingle"), "shingle").select("doc_id", "item_id", "item").distinct()

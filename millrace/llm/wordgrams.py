@@ -6,6 +6,7 @@ Words are runs of letters, digits and underscores (\\w) of the lower-cased text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +50,61 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def hashed(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of words, from their sums of bytes times powers of the base."""
+    with np.errstate(over="ignore"):
+        return _mixed(sums + lengths.astype(np.uint64))
+
+
+def pieces(raw: bytes, words: int, most: int, inside: np.ndarray = _IS_WORD) -> Iterator[bytes]:
+    """The text in pieces of about `most` bytes that end where words end; each begins with the last `words` words before it.
+
+    So every run of up to words + 1 words lies in some piece. Memory grows with the longest words only.
+    """
+    if len(raw) <= most:
+        yield raw
+        return
+    data = np.frombuffer(raw, np.uint8)
+    before: list[bytes] = []
+    a = 0
+    while a < len(raw):
+        b = min(a + most, len(raw))
+        while b < len(raw) and inside[data[b]]:
+            ends = np.flatnonzero(~inside[data[b : b + most]])
+            b += int(ends[0]) if len(ends) else min(most, len(raw) - b)
+        yield b" ".join([*before, raw[a:b]])
+        edge = np.diff(inside[data[a:b]].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        found = [raw[a + i : a + j] for i, j in zip(np.flatnonzero(edge == 1)[-words:].tolist(), np.flatnonzero(edge == -1)[-words:].tolist(), strict=True)]
+        before = [*before, *found][-words:]
+        a = b
+
+
+class WordStream:
+    """Hashes of the whole words of one text that comes in parts, none empty, cut anywhere, also within words."""
+
+    def __init__(self, inside: np.ndarray = _IS_WORD):
+        self.inside = inside
+        self.open: tuple[int, int] | None = None  # sum and length of a word that may go on
+
+    def part(self, raw: bytes, last: bool) -> np.ndarray:
+        w = Words([raw], self.inside)
+        sums, lengths = w.sum, w.last - w.first
+        if self.open is not None:
+            held, size = self.open
+            if self.inside[raw[0]]:
+                first = (held + pow(_BASE, size, 1 << 64) * int(sums[0])) % (1 << 64), size + int(lengths[0])
+                sums, lengths = sums[1:], lengths[1:]
+            else:
+                first = self.open
+            sums = np.concatenate([np.array([first[0]], np.uint64), sums])
+            lengths = np.concatenate([np.array([first[1]], np.int64), lengths])
+            self.open = None
+        if not last and self.inside[raw[-1]]:
+            self.open = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        return hashed(sums, lengths)
+
+
 class Words:
     """The words of several texts: where each starts and ends, its text, its hash. `inside`: the bytes that words are made of."""
 
@@ -63,7 +119,8 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(np.where(inside, _BYTE, 0).astype(np.uint64)[self.data] * up[: len(self.data)], out=total[1:])
-            self.hash = _mixed((total[self.last] - total[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64))
+            self.sum = (total[self.last] - total[self.first]) * down[self.first]
+        self.hash = hashed(self.sum, self.last - self.first)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word of each n-gram that lies in one text, and its hash."""

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from millrace.llm import decontaminate, simhash
+from millrace.llm import decontaminate, simhash, wordgrams
 from millrace.llm.common import Scratch
 from millrace.llm.components import components
 
@@ -120,3 +120,22 @@ def test_kept_rows_of_repeated_ids(spark):
     assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted([(3, t), (7, u), (None, t)], key=str)
     plan = simhash.keep_one(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(cast(doc_id") + plan.count("hashpartitioning(doc_id") <= 4, plan
+
+def test_pieces_hold_every_run_of_words():
+    rng = random.Random(2)
+    for _ in range(300):
+        raw = "".join(rng.choice(["a", "b", "é", " ", "  ", ",", "long" * 4]) for _ in range(rng.randrange(60))).encode()
+        runs = lambda x: {tuple(w[i : i + n]) for w in [re.findall(rb"[a-z0-9_\x80-\xff]+", x)] for n in range(1, 6) for i in range(len(w) - n + 1)}
+        got = [runs(x) for x in wordgrams.pieces(raw, 4, rng.choice([1, 2, 5, 17]))]
+        assert set().union(*got) == runs(raw)
+
+
+def test_containment_in_long_texts(spark, monkeypatch):
+    """A text of 20 MB, with an item across the edge of two pieces and one at its end."""
+    item = "here stands the item that is looked for in a long text of many words"
+    filler = "some other words of the text. " * 700_000
+    at = decontaminate.PART - 30
+    long_ = filler[:at] + " " + item + " " + filler[at:]
+    docs = spark.createDataFrame([(1, long_), (2, filler), (3, "é" + filler + item.upper()), (4, "x" * 3_000_000 + " " + item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(tuple(r)[:4] for r in decontaminate.contained(docs, items).collect()) == [(d, 1, 11, 11) for d in (1, 3, 4)]
