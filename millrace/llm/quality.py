@@ -7,7 +7,8 @@ of labelled rows (`SAMPLE`), outside the held-out fold. As the output is linear
 model folds into one number for each bucket: a score is the average of those numbers over a text.
 
 Defined cases: null texts are empty; a text without features scores the share of label 1; without
-labels of both kinds every text scores that share (0.5 if there are no labels); repeated rows are scored each.
+labels of both kinds every text scores that share (0.5 if there are no labels); repeated rows are scored each;
+long texts are read in parts (`PART`), with the same features, so memory does not grow with them.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bucket, chunks, ship, texts
 from millrace.llm.labelled import sample
-from millrace.llm.wordgrams import SOLID, Words
+from millrace.llm.wordgrams import SOLID, Words, WordStream
 
 BUCKETS = 1 << 18
 #: Labelled rows of label 0 and of label 1 at most.
 SAMPLE = (2500, 3500)
 DIM, EPOCHS, RATE, SEED = 10, 6, 0.4, 7
 KEPT = 0.3
+#: Bytes of a text that are looked at together.
+PART = 1 << 20
 
 _TABLES = np.random.default_rng(11).integers(0, 1 << 32, (5, 256), dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +57,31 @@ def features(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ((h[whole] * np.uint32(2 * n + 1)) & np.uint32(BUCKETS - 1)).astype(np.int64), doc[: len(h)][whole]
 
 
+def features_in_parts(raw: bytes, size: int) -> Iterator[np.ndarray]:
+    """Buckets of the features of one text, as `features` gives them, part by part."""
+    low = np.uint64(BUCKETS - 1)
+    words = WordStream(SOLID)
+    before, tail = np.zeros(0, np.uint64), b""
+    for a in range(0, len(raw), size):
+        part = raw[a : a + size]
+        found = words.part(part, a + size >= len(raw))
+        yield (found & low).astype(np.int64)
+        run = np.concatenate([before, found])
+        if len(run) > 1:
+            with np.errstate(over="ignore"):
+                pair = (run[:-1] * _STEP + run[1:]) >> np.uint64(40)
+            yield np.where(run[:-1] == run[1:], np.uint64(1), pair & low).astype(np.int64)
+        before = run[-1:]
+        data = np.frombuffer(tail + part, np.uint8)
+        h = _TABLES[0][data]
+        for n in range(1, 5):
+            h = h[: max(0, len(data) - n)] ^ _TABLES[n][data[n:]]
+            if n >= 2:
+                new = h[max(0, len(tail) - n) :]  # those that end in this part
+                yield ((new * np.uint32(2 * n + 1)) & np.uint32(BUCKETS - 1)).astype(np.int64)
+        tail = (tail + part[-4:])[-4:]
+
+
 def fit(held: list[bytes], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """A number for each bucket and a bias: log odds of label 1."""
     rng = np.random.default_rng(SEED)
@@ -106,9 +134,13 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray | None, float]) -> DataFrame
             if weights is None:
                 p = np.full(len(held), bias)
             else:
-                for place, of in features(held):
+                for place, of in features([x if len(x) <= PART else b"" for x in held]):
                     total += np.bincount(of, weights[place], len(held))
                     n += np.bincount(of, minlength=len(held))
+                for i in (i for i, x in enumerate(held) if len(x) > PART):
+                    for place in features_in_parts(held[i], PART):
+                        total[i] += weights[place].sum(dtype=np.float64)
+                        n[i] += len(place)
                 p = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], names=["doc_id", "score"])
 

@@ -24,6 +24,25 @@ def test_quality_on_the_held_out_fold(spark, sf01):
     assert x[x[:, 0] == 1, 2].min() > np.median(x[x[:, 0] == 0, 2])
 
 
+def test_features_in_parts_are_those_of_the_whole_text():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        raw = bytes(rng.choice(np.frombuffer(b"aab \n\0c\xc3", np.uint8), rng.integers(0, 40)))
+        whole = [b for b, _ in quality.features([raw])]
+        parts = list(quality.features_in_parts(raw, int(rng.integers(1, 9))))
+        join = lambda x: np.sort(np.concatenate([np.zeros(0, np.int64), *x])).tolist()
+        assert join(parts) == join(whole)
+
+
+def test_long_texts_score_like_short_ones(spark):
+    """The same words 100,000 times over (20 MB), one word of 5 MB, white space alone."""
+    line = "good words of a text with several sentences. " * 5
+    weights = np.random.default_rng(1).normal(0, 5, quality.BUCKETS).astype(np.float32)
+    texts = [line * 100, line * 100_000, "a" * 5_000_000, " " * 3_000_000, ""]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (weights, 0.1)).collect()}
+    assert abs(got[0] - got[1]) < 0.01 and len(got) == 5 and all(0 <= x <= 1 for x in got.values())
+
+
 @pytest.mark.parametrize(("table", "recall"), [("sf0.1", 0.5), ("check_s", 0.95)])
 def test_toxicity_on_the_held_out_fold(spark, table, recall):
     """On sf0.1 toxic words of three languages are made of ordinary syllables, which compression does not tell apart: README gives the figures."""
