@@ -126,5 +126,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
+OP8_SQL = r"""
+WITH q AS (SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT item_id, text, w, least(5, len(w)) AS size FROM q WHERE len(w) > 0),
+a AS (SELECT DISTINCT item_id, text, array_to_string(w[k : k + size - 1], ' ') AS s FROM i, unnest(range(1, len(w) - size + 2)) AS t(k)),
+n AS (SELECT item_id, text, count(*) AS n_shingles FROM a GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + size - 1], ' ') AS s FROM d, (SELECT DISTINCT size FROM i), unnest(range(1, len(w) - size + 2)) AS t(k)),
+c AS (SELECT doc_id, item_id, text, count(*) AS n_shared FROM b JOIN a USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM c JOIN n USING (item_id, text) WHERE 5 * n_shared >= 4 * n_shingles
+"""
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -15,6 +15,8 @@ QUERIES = {
     "op10_media_signature_sniffing": media.op10,
 }
 ORACLES = {
+    "op1_run_length_index_dedup": suffix_dedup.OP1_SQL,
     "op3_license_sentence_rules": license_scan.OP3_SQL,
     "op5_warc_content_addressed": warc.OP5_SQL,
+    "op8_benchmark_containment": decontaminate.OP8_SQL,
 }
