@@ -1,4 +1,4 @@
-"""Pandas UDFs whose type is read when they are first used, so that modules import without a session."""
+"""Pandas and Arrow UDFs whose type is read when they are first used, so that modules import without a session."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.ship import ship
 
 
-def pandas_udf(kind: str):
+def _lazy(make: str, kind: str):
     def wrap(f):
         made: dict = {}
 
@@ -20,9 +20,17 @@ def pandas_udf(kind: str):
             if sc not in made:
                 ship(sc)
                 made.clear()
-                made[sc] = F.pandas_udf(f, kind)
+                made[sc] = getattr(F, make)(f, kind)
             return made[sc](*columns)
 
         return update_wrapper(call, f)
 
     return wrap
+
+
+def pandas_udf(kind: str):
+    return _lazy("pandas_udf", kind)
+
+
+def arrow_udf(kind: str):
+    return _lazy("arrow_udf", kind)

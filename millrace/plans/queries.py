@@ -164,8 +164,8 @@ def _(spark, sf):
 
 @query("f13_minhash_signatures")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", text.shingles(F.coalesce("text", F.lit(""))).alias("s")).where(F.size("s") > 0)
-    return d.select("doc_id", text.minhash(F.col("s"), DEFAULT.minhash_permutations).alias("signature"))
+    d = read(spark, sf, "documents").where(text.has_words(F.col("text")))
+    return d.select("doc_id", text.text_minhash(F.col("text"), 5, DEFAULT.minhash_permutations).alias("signature"))
 
 
 @query("f15_language")
