@@ -133,7 +133,7 @@ def extract(pages: DataFrame) -> DataFrame:
         f["date"].alias("published_date"),
         F.coalesce(f["language"], text.language(F.col("main_content")), F.lit("en")).alias("language"),
         "main_content",
-        text.summary(F.col("main_content")).alias("summary"),
+        F.when(F.length("main_content") > 0, text.summary(F.col("main_content"))).alias("summary"),
         F.filter(f["headings"], lambda h: h != "").alias("headings"),
         images(f).alias("images"),
         F.col("cls.page_type").alias("page_type"),

@@ -41,3 +41,12 @@ def test_search_is_pushed_down(spark, sf):
 
     plan = spark.read.parquet(f"{sf}/orders.parquet").where(F.col("o_totalprice") >= 1e5).select("o_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThanOrEqual(o_totalprice" in plan
+
+
+def test_summaries_of_odd_texts(spark, tmp_path):
+    odd = ["", " ", "\u00a0a. b.\u3000", "a. b.\x0b", "a.\x0bb. c. d", "a.\x01b. c", "a. \x01b. c", " \ta.\n b.\n", "a.\u2003b. c. d", "x" * 400, "e\u0301" * 201, None]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["summary"] for r in engine.QUERIES["f14_summary"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(engine.ORACLES["f14_summary"]).fetchall())
