@@ -12,7 +12,7 @@ from millrace.settings import DEFAULT, Settings
 
 def with_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The pages with a struct column `facts`; parsed once, and after any filter on other columns."""
-    return pages.withColumn("facts", html_facts(F.col(url), F.col(html)))
+    return pages.withColumn("facts", html_facts(F.col(html), F.col(url)))
 
 
 def _any(body: Column, markers: tuple) -> Column:

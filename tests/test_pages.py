@@ -1,8 +1,9 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, text
-from millrace.functions.html import facts
+from millrace.functions.html import facts, html_facts
 from millrace.operators import pages
 
 WORDS = "word " * 300
@@ -94,3 +95,18 @@ def test_text(spark):
 def test_facts_of_nested_text():
     f = facts("https://e.com", "<p>a<p>b <b>c</b><style>x</style><!-- y --><div>d</div>")
     assert f["visible_text"] == "a b c d"
+
+
+def test_references_end_with_a_semicolon():
+    """As in the SQL of e_html_facts; scripts keep their text."""
+    f = facts("https://e.com", '<title>a &amp;&amp</title><p>b &lt c &copy; &#65; &#65 d&</p><a href="/x?a=1&copy=2&amp;b=3">l</a><script type="application/ld+json">{"@type": "A&amp"}</script>')
+    assert f["title"] == "a &&amp" and f["visible_text"] == "a &&amp b &lt c \u00a9 A &#65 d& l"
+    assert f["links"] == ["https://e.com/x?a=1&copy=2&b=3"] and f["jsonld"] == ['{"@type": "A&amp"}']
+
+
+def test_facts_are_made_a_slice_at_a_time():
+    """A batch of 10,000 large pages would otherwise stand in memory as parsed facts all at once."""
+    html = [f"<p>{i} " + "word " * 20_000 for i in range(50)] + [None, ""]
+    out = list(html_facts.__wrapped__(iter([(pa.array(html), pa.array(["https://e.com"] * 52))])))
+    assert len(out) >= 5 and sum(map(len, out)) == 52 and max(map(len, out)) <= 12
+    assert [x["visible_text"][:2].strip() for o in out for x in o.to_pylist()][:50] == [str(i) for i in range(50)]
