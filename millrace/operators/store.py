@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import urls
@@ -104,8 +105,18 @@ def as_log_entry(log: DataFrame) -> DataFrame:
 
 
 def tail(log: DataFrame, offset: int = 0) -> DataFrame:
-    """Log rows in order of id from an offset (O3)."""
-    return log.orderBy("id").offset(offset)
+    """Log rows in order of id from an offset (O3).
+
+    An offset in a plan would bring all rows to one task. Here only the rows to be left out are looked for: all below the last of
+    their ids go, and of those with that id so many as were among them; the rest is sorted in ranges.
+    """
+    if not offset:
+        return log.orderBy("id")
+    order = F.struct(F.col("id").isNotNull(), "id")  # nulls come first
+    last = log.select(order.alias("at")).orderBy("at").limit(offset).groupBy("at").agg(F.count("*").alias("cut")).agg(F.max_by("cut", "at").alias("cut"), F.max("at").alias("last"))
+    held = log.withColumn("_at", order).join(F.broadcast(last), F.col("_at") >= F.col("last"))
+    edge = held.where("_at = last").withColumn("_r", F.row_number().over(W.partitionBy("_at").orderBy("_at"))).where("_r > cut")
+    return held.where("_at > last").select(*log.columns).union(edge.select(*log.columns)).orderBy("id")
 
 
 def tier(score: Column) -> Column:

@@ -152,3 +152,14 @@ def test_repeated_urls_in_writes(spark):
     articles = spark.createDataFrame([("a", "x"), ("b", "y")], "url string, next_recrawl_at string")
     times = spark.createDataFrame([("a", "new", 2), ("a", "old", 1)], "url string, next_at string, seq int")
     assert sorted(map(tuple, store.set_recrawl(articles, times).collect())) == [("a", "new"), ("b", "y")]
+
+
+def test_tail_is_sorted_in_ranges(spark):
+    """No task gets all rows, as with an offset in the plan; equal ids and nulls are counted one by one."""
+    log = spark.createDataFrame([(i, f"u{k}") for k, i in enumerate([None, None, 1, 1, 1, 2, 3, 3, 4])], "id long, url string")
+    for offset in range(11):
+        out = store.tail(log, offset)
+        assert [r["id"] for r in out.collect()] == [None, None, 1, 1, 1, 2, 3, 3, 4][offset:]
+        assert out.columns == ["id", "url"]
+    plan = store.tail(spark.range(100).withColumn("url", F.lit("u")), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(id" in plan and "offset=" not in plan.lower().replace("offset=0", "") and "GlobalLimit" not in plan
