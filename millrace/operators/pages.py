@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, text, urls
-from millrace.functions.html import html_facts
+from millrace.functions.html import compared_facts, html_facts
 from millrace.settings import DEFAULT, Settings
 
 
@@ -103,20 +103,32 @@ def images(facts: Column, settings: Settings = DEFAULT) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(facts["og_image"])), F.transform(good, lambda i: i["url"]))), 1, 10)
 
 
+def _title(f: Column) -> Column:
+    return F.coalesce(F.nullif(f["article_h1"], F.lit("")), F.when(f["has_og_title"], f["og_title"]).otherwise(F.coalesce(f["h1"], f["title"])))
+
+
+def _canonical(f: Column) -> Column:
+    return F.coalesce(F.nullif(f["canonical"], F.lit("")), F.col("url"))
+
+
+def compared(pages: DataFrame, *keep: str) -> DataFrame:
+    """The fields of `extract` that duplicates are told by (url, canonical_url, title, main_content), of pages (url, html), with other columns to keep."""
+    f = F.col("facts")
+    rows = pages.withColumn("facts", compared_facts(F.col("html"), F.col("url")))
+    return rows.select(*keep, "url", _canonical(f).alias("canonical_url"), _title(f).alias("title"), f["main_content"].alias("main_content"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Article fields of pages with `facts` and `cls` columns."""
     f = F.col("facts")
-    used_article = F.length(f["article_text"]) > 0
-    raw = F.coalesce(f["article_text"], f["long_block"])
-    body = F.when(F.length(raw) > 0, strip_noise(raw, f["noise"]))
-    title = F.coalesce(F.nullif(f["article_h1"], F.lit("")), F.when(f["has_og_title"], f["og_title"]).otherwise(F.coalesce(f["h1"], f["title"])))
+    body, title = f["main_content"], _title(f)
     cookie = F.contains(F.lower("html"), F.lit("cookie")) | f["has_cookie_class"]
     said = lambda test, name: F.when(test, name)
     missing = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
     problems = F.array_compact(
         F.array(
-            said(~F.coalesce(used_article, F.lit(False)), "used_fallback_extractor"),
-            said(missing(raw), "empty_body"),
+            said(~f["from_article"], "used_fallback_extractor"),
+            said(body.isNull(), "empty_body"),
             said(missing(f["author"]), "missing_author"),
             said(missing(f["date"]), "missing_date"),
             said(~f["has_article"] & ~f["has_main"], "large_navigation_noise"),
@@ -127,7 +139,7 @@ def extract(pages: DataFrame) -> DataFrame:
     out = pages.withColumn("main_content", body).withColumn("problems_detected", problems)
     return out.select(
         *pages.columns,
-        F.coalesce(F.nullif(f["canonical"], F.lit("")), F.col("url")).alias("canonical_url"),
+        _canonical(f).alias("canonical_url"),
         title.alias("title"),
         f["author"].alias("author"),
         f["date"].alias("published_date"),

@@ -339,9 +339,7 @@ def _(spark, sf):
 
 @query("l1_l4_deduplicate_pages")
 def _(spark, sf):
-    work = Work(spark, "dedup")
-    rows = work.table(_extracted(spark, sf).select(F.col("page_id").alias("seq"), "url", "canonical_url", "title", "main_content"), "articles")
-    return dedup.resolve(rows, work)
+    return dedup.resolve(pages.compared(read(spark, sf, "pages").withColumnRenamed("page_id", "seq"), "seq"), Work(spark, "dedup"))
 
 
 @query("j4_j6_exact_layers", """

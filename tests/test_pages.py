@@ -1,9 +1,12 @@
+import random
+from html.parser import HTMLParser
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, text
-from millrace.functions.html import facts, html_facts
+from millrace.functions.html import _Tree, facts, html_facts, stripped
 from millrace.operators import pages
 
 WORDS = "word " * 300
@@ -110,3 +113,32 @@ def test_facts_are_made_a_slice_at_a_time():
     out = list(html_facts.__wrapped__(iter([(pa.array(html), pa.array(["https://e.com"] * 52))])))
     assert len(out) >= 5 and sum(map(len, out)) == 52 and max(map(len, out)) <= 12
     assert [x["visible_text"][:2].strip() for o in out for x in o.to_pylist()][:50] == [str(i) for i in range(50)]
+
+
+class Plainly(_Tree):
+    parse_starttag, parse_endtag, updatepos = HTMLParser.parse_starttag, HTMLParser.parse_endtag, HTMLParser.updatepos
+
+
+def shape(n):
+    return n if isinstance(n, str) else (n.tag, n.attrs, [shape(k) for k in n.kids])
+
+
+def test_runs_of_plain_tags_are_read_as_by_the_parser():
+    rng = random.Random(1)
+    bits = ["<p>", "</p>", "<P>", '<div class="ad x">', "<div class='ad'>", "</div>", '<a href="/x y">', '<a href="/x&amp;y" rel="u">', "<a href=/z>", '<a href="q"title="r">', "</a >", "</ a>", "<script>", "</script>", "<style>", "</STYLE>"]
+    bits += ["<title>", "</title>", "<textarea>", "<br>", "<br/>", "<br />", "<", ">", '"', "&", "&amp;", "&lt", "&#65;", "<!--", "-->", "<!doctype html>", "<![CDATA[", "]]>", "<?x", "?>", "text ", "\n", "<li>", "</ul>", '<img src="a>b">', "<x-y>", '<a:b c="d">', '<p A="" a="z">', "<p a=\"'b'\">", '<p a="b=" c="d">', '<p  a="b">', '<p a ="b">', "<plaintext>"]
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert shape(_Tree(html).root) == shape(Plainly(html).root), html
+
+
+def test_only_the_facts_asked_for(spark):
+    """Duplicates need seven facts of a page; the others are not made, and the fields are those of extract."""
+    odd = [("https://e.com/news/a", ARTICLE), ("https://e.com/x", None), ("https://e.com/y", ""), ("https://e.com/z", "<div class='ad'>Buy\x1c now</div><div>" + WORDS + "<footer>Foot  er</footer> end x</div>"), (None, "<p>x")]
+    d = rows(spark, *odd)
+    want = {r["page_id"]: tuple(r)[1:] for r in pages.extract(d.withColumns({"facts": html_facts("html", "url"), "cls": pages.classify(F.col("url"), html_facts("html", "url"))})).select("page_id", "url", "canonical_url", "title", "main_content").collect()}
+    got = pages.compared(d, "page_id")
+    assert {r["page_id"]: tuple(r)[1:] for r in got.collect()} == want and "visible_text" not in got._jdf.queryExecution().toString()
+    assert "Buy" not in facts(*odd[3])["main_content"] and facts("u", ARTICLE, ("title", "h1")) == {"title": "Site | A title", "h1": "A title"}
+    slow = spark.createDataFrame([("a b  c\x1cd  e ", ["b"])], "t string, n array<string>").select(pages.strip_noise(F.col("t"), F.col("n")).alias("r")).first()["r"]
+    assert stripped("a b  c\x1cd  e ", ["b"]) == slow
